@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ordinata.llm.common import cut, small_side
+
 #: Bits of a packed key that hold the complement of a position: texts of up to 2^28 words.
 POS_BITS = 28
 POS_MAX = 2**POS_BITS - 1
@@ -73,33 +77,30 @@ def likeness(a: str, b: str) -> Column:
     return F.when(union == 0, 1.0).otherwise(both / F.greatest(union, F.lit(1)))
 
 
-def next_rows(df: DataFrame, key: str, carry: list[str], width: int = 512) -> DataFrame:
-    """`df` with `next_<c>` for each c of `carry`: that of the next row in descending `key`, after the last the first.
+def next_rows(df: DataFrame, key: str, carry: list[str], add: Callable[[DataFrame], DataFrame], width: int = 512) -> DataFrame:
+    """`add(df)` with `next_<c>` for each c of `carry`: that of the next row in descending `key`, after the last the first.
 
-    Without a window over the whole table: rows are cut into buckets of `width`
-    neighbouring key values, each bucket takes its neighbour's first row.  The
-    buckets' first keys alone (one long each) are ordered in the same way one
-    level up, and at the top, with width^2 times fewer rows, in one window.  Of
-    rows with one key, the order is that of their carried columns.  A null key
-    counts as the least.  One row follows itself; no rows, no rows.
+    `carry` starts with a column of `df` that orders rows of one key.  There is
+    no window over the whole table: rows are cut into buckets of `width`
+    neighbouring key values, and a bucket's last row takes the first row of the
+    bucket after it.  Which bucket that is comes from the buckets' numbers, in the
+    same way one level up, and at the top, with width^2 times fewer rows, in one
+    window.  The first rows, one a bucket, are read again by their keys, so the
+    table is dealt once.  A null key counts as the least.  One row follows itself;
+    no rows, no rows.
     """
-    names = [f"next_{c}" for c in carry]
-    order = [F.col("__k").desc(), *[F.col(c) for c in carry if dict(df.dtypes)[c] in ("string", "bigint")]]
     d = df.withColumn("__k", F.coalesce(F.col(key).cast("long"), F.lit(-(2**62)))).withColumn("__b", F.floor(F.col("__k") / width))
-    w = W.partitionBy("__b").orderBy(*order)
-    d = d.withColumns({f"__n{i}": F.lead(c).over(w) for i, c in enumerate(carry)} | {"__last": F.lead(F.lit(True)).over(w).isNull(), "__first": F.lag(F.lit(True)).over(w).isNull()})
-    # one row a bucket: which bucket comes after it
-    buckets = df.select(F.floor(F.coalesce(F.col(key).cast("long"), F.lit(-(2**62))) / width).alias("__b")).distinct().withColumn("__s", F.floor(F.col("__b") / width))
-    inner = W.partitionBy("__s").orderBy(F.col("__b").desc())
-    buckets = buckets.withColumn("__to", F.lead("__b").over(inner))
+    buckets = d.groupBy("__b").agg(F.max("__k").alias("__k")).withColumn("__s", F.floor(F.col("__b") / width))
     tops = buckets.groupBy("__s").agg(F.max("__b").alias("__top"))
-    whole = W.orderBy(F.col("__s").desc())
-    tops = tops.withColumn("__after", F.coalesce(F.lead("__top").over(whole), F.max("__top").over(W.partitionBy(F.lit(0)))))
-    after = buckets.join(tops.select("__s", "__after"), "__s").select(F.col("__b").alias("__from"), F.coalesce("__to", "__after").alias("__to"))
-    first = d.where("__first").select(F.col("__b").alias("__to"), *[F.col(c).alias(f"__f{i}") for i, c in enumerate(carry)])
-    heads = after.join(first, "__to").drop("__to")
-    d = d.join(heads, (d["__b"] == heads["__from"]) & d["__last"], "left")
-    return d.select(*df.columns, *[F.when(F.col("__last"), F.col(f"__f{i}")).otherwise(F.col(f"__n{i}")).alias(n) for i, n in enumerate(names)])
+    tops = tops.withColumn("__after", F.coalesce(F.lead("__top").over(W.orderBy(F.col("__s").desc())), F.max("__top").over(W.partitionBy(F.lit(0)))))
+    to = F.coalesce(F.lead("__b").over(W.partitionBy("__s").orderBy(F.col("__b").desc())), F.col("__after"))
+    buckets = cut(buckets.join(tops.select("__s", "__after"), "__s").select("__b", "__k", to.alias("__to")))
+    first = add(d.drop("__b").join(small_side(buckets.select("__k", F.col("__b").alias("__to"))), "__k"))
+    first = first.groupBy("__to").agg(F.min(F.struct(*carry)).alias("__head"))
+    heads = buckets.select("__b", "__to").join(first, "__to").select("__b", "__head")
+    w = W.partitionBy("__b").orderBy(F.col("__k").desc(), carry[0])
+    d = add(d).withColumn("__next", F.lead(F.struct(*carry)).over(w)).join(heads, "__b", "left").withColumn("__next", F.coalesce("__next", "__head"))
+    return d.select(*[c for c in d.columns if not c.startswith("__")], *[F.col(f"__next.{c}").alias(f"next_{c}") for c in carry])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, window: int = 8) -> DataFrame:
@@ -111,7 +112,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and text are not read.
     """
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = next_rows(winnow(d, "text", "keys", k, window), "id", ["text", "keys"])
+    d = next_rows(d, "id", ["text", "keys"], lambda x: winnow(x, "text", "keys", k, window))
     d = d.withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.substring("next_text", F.lit(1), third)))

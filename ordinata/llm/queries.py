@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinata.llm import fingerprint
+from ordinata.llm import fingerprint, kdtree, urlfilter
 from ordinata.llm.common import table
 
 
+#: The rules of op8: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op3_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = kdtree.shard(table(spark, sf_dir, "documents"), shards=8)
+    return d.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES)).withColumnRenamed("id", "page_id")
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
     return d.select(
@@ -21,6 +34,8 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_kd_tree_sharding": op3_kd_tree_sharding,
+        "op8_url_filters": op8_url_filters,
         "op10_document_fingerprints": op10_document_fingerprints,
     }
 
