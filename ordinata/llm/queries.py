@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinata.llm import fingerprint, kdtree, urlfilter
+from ordinata.llm import bpe, fingerprint, kdtree, langid, urlfilter
 from ordinata.llm.common import table
 
 
@@ -15,6 +18,31 @@ from ordinata.llm.common import table
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.where(~held_out).select(F.col("doc_id").alias("id"), "text", "lang"))
+    return langid.predict(docs, model, keep=(held_out.alias("held_out"),)).withColumnRenamed("id", "doc_id")
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text: encoded, then decoded from the ids."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, text = b.column("ids").to_pylist(), b.column("decoded").to_pylist()
+            sha = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), sha(ids), sha(text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return decoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = kdtree.shard(table(spark, sf_dir, "documents"), shards=8)
     return d.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -34,6 +62,8 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_byte_level_bpe": op2_byte_level_bpe,
         "op3_kd_tree_sharding": op3_kd_tree_sharding,
         "op8_url_filters": op8_url_filters,
         "op10_document_fingerprints": op10_document_fingerprints,
