@@ -162,3 +162,37 @@ def binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Rows of bytes from one array and the offsets of its rows, in items."""
     values = np.ascontiguousarray(values)
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets * values.itemsize, np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], count: str, total: int, spread: str) -> DataFrame:
+    """`rows` left-joined with `classes` (unique on `keys`, all filled) without a task that gets a hot class whole.
+
+    Classes of more than a thousandth of the `total` rows, by their column `count`,
+    are fewer than a thousand and joined by broadcast.  Their rows take part in
+    the other join under a key of their own, by hash of column `spread`.
+    """
+    values = [c for c in classes.columns if c not in keys]
+    bound = max(total / 1000, 8)
+    key = F.xxhash64(*keys)
+    hot = classes.where(F.col(count) > bound).select(*keys, F.struct(*values).alias("__hot"))
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("__key", F.when(F.col("__hot").isNull(), key).otherwise(F.xxhash64(spread)))
+    cold = classes.where(F.col(count) <= bound).select(key.alias("__key"), *[F.col(k).alias(f"__c_{k}") for k in keys], F.struct(*values).alias("__cold"))
+    same = rows["__key"] == cold["__key"]
+    for k in keys:
+        same = same & (rows[k] == cold[f"__c_{k}"])
+    out = rows.join(cold, same, "left").drop(cold["__key"])
+    got = F.coalesce("__hot", "__cold")
+    return out.select(*[c for c in rows.columns if not c.startswith("__")], *[got[v].alias(v) for v in values])
+
+
+def chunk_pairs(rows: DataFrame, key: str, big: DataFrame, most: int) -> DataFrame:
+    """`rows` (with `id`) with `part`: all 0 in a group of `key` that is not in `big` (key, all), else a row for each pair of chunks.
+
+    A group of `big` is cut into q = all / most chunks by hash of `id`, and a row
+    of chunk c goes to the q parts of (c, d), so that any two rows of the group
+    meet in a part, and a part holds two chunks at most.
+    """
+    q = F.coalesce(F.ceil(F.col("all") / most).cast("int"), F.lit(1))
+    d = rows.join(small_side(cut(big.select(key, "all"))), key, "left").withColumn("q", q).withColumn("c", F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("q")).cast("int"))
+    d = d.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    return d.withColumn("part", F.least("c", "d").cast("long") * 65536 + F.greatest("c", "d")).drop("q", "c", "d", "all")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinata.llm import bpe, fingerprint, kdtree, langid, urlfilter
+from ordinata.llm import bpe, fingerprint, jaccard, kdtree, langid, urlfilter
 from ordinata.llm.common import table
 
 
@@ -48,6 +48,11 @@ def op3_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = jaccard.link(table(spark, sf_dir, "documents"), percent=80, k=5)
+    return d.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES)).withColumnRenamed("id", "page_id")
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_byte_level_bpe": op2_byte_level_bpe,
         "op3_kd_tree_sharding": op3_kd_tree_sharding,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op8_url_filters": op8_url_filters,
         "op10_document_fingerprints": op10_document_fingerprints,
     }
