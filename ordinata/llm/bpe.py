@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,11 @@ import pyarrow as pa
 import regex
 import tiktoken
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordinata.llm.common import binary, cut, grouped, utf8
+from ordinata.llm.common import binary, grouped, utf8
 from ordinata.llm.texts import slices
 
 
@@ -54,113 +56,146 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def pre_tokens(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
-    """Blocks of texts as positions of words: (block, words, docs, lengths, places), written once.
+def _pack(*columns: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
 
-    A block is a run of rows of one task with about `block_bytes` of text.  Its
-    distinct words are listed once; each text is the sequence of its words'
-    places in that list, which is the exploded table of pre-tokens with positions,
-    packed.  The cut makes the block's two halves (words that are dealt out,
-    places that stay) agree whatever task reads them.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            places: dict[str, int] = {}
-            spots, lengths, ids = [], [], []
-            for b in held:
-                ids += b.column(0).to_pylist()
-                for t in b.column(1).to_pylist():
-                    words = find(t or "")
-                    for w in words:
-                        if w not in places:
-                            places[w] = len(places)
-                    spots.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
-                    lengths.append(len(words))
-            spot = np.concatenate(spots)
-            order = np.argsort(-np.bincount(spot, minlength=len(places)), kind="stable")  # frequent words first
-            rank = np.empty(len(places), np.int64)
-            rank[order] = np.arange(len(places))
-            listed = list(places)
-            listed = [listed[i] for i in order.tolist()]
-            h = hashlib.blake2b(digest_size=8)
-            h.update(repr((ids[0], ids[-1], len(ids), sum(lengths), len(places))).encode())
-            h.update("".join(listed[:1000]).encode("utf-8", "surrogatepass"))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([int.from_bytes(h.digest(), "little", signed=True)], pa.int64()), pa.array([listed], pa.list_(pa.string())), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([_packed(rank[spot])], pa.binary())],
-                ["block", "words", "ids", "lengths", "places"],
-            )
-
-        for b in (s for batch in batches for s in slices(batch, "text", block_bytes)):
-            held.append(b)
-            size += b.nbytes
-            if size >= block_bytes:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes: int) -> Iterator[tuple[int, list[str], np.ndarray, list, list[int]]]:
+    """Runs of rows of one task with about `block_bytes` of text: (block, words, places, ids, lengths).
 
-    blocks = docs.mapInArrow(run, "block long, words array<string>, ids array<long>, lengths array<int>, places binary")
-    # blocks of equal content in different tasks are told apart
-    return cut(blocks.withColumn("block", F.xxhash64("block", F.monotonically_increasing_id())))
+    A block's distinct words are listed once, frequent ones first; its texts are
+    sequences of places in that list: the exploded table of pre-tokens with
+    positions, packed.  The block's name is made of its place in the task and what
+    it holds.
+    """
+    find = regex.compile(pattern).findall
+    held: list[pa.RecordBatch] = []
+    size = number = 0
+    task = TaskContext.get().partitionId()
+
+    def flush() -> tuple[int, list[str], np.ndarray, list, list[int]]:
+        places: dict[str, int] = {}
+        spots, lengths, ids = [], [], []
+        for b in held:
+            ids += b.column(0).to_pylist()
+            for t in b.column(1).to_pylist():
+                words = find(t or "")
+                for w in words:
+                    if w not in places:
+                        places[w] = len(places)
+                spots.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+                lengths.append(len(words))
+        spot, listed = np.concatenate(spots), list(places)
+        order = np.argsort(-np.bincount(spot, minlength=len(places)), kind="stable")
+        rank = np.empty(len(places), np.int64)
+        rank[order] = np.arange(len(places))
+        listed = [listed[i] for i in order.tolist()]
+        name = hashlib.blake2b(repr((task, number, ids[0], ids[-1], len(ids), len(spot), len(listed), listed[:9])).encode("utf-8", "surrogatepass"), digest_size=8)
+        return int.from_bytes(name.digest(), "little", signed=True), listed, rank[spot], ids, lengths
+
+    for b in (s for batch in batches for s in slices(batch, "text", block_bytes)):
+        held.append(b)
+        size += b.nbytes
+        if size >= block_bytes:
+            yield flush()
+            held, size, number = [], 0, number + 1
+    if held:
+        yield flush()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
     """(id, ids): the token ids of every text, as little-endian unsigned 32-bit integers.
 
     Null texts count as empty and have no tokens; repeated rows are encoded row by
     row; other columns are not read; no rows, no rows.  Special tokens have no
     meaning: their strings are ordinary text.
 
-    Words are dealt out by themselves, at most once from each block, so a word that
-    is in every text costs a row a block.  Each distinct word is encoded once, by
-    ranks, and its ids go back to the blocks that hold it.
+    Words are dealt out by hash, at most once from each block, so a word that is in
+    every text costs an entry a block.  Each distinct word is encoded once, by
+    ranks, and its ids go back to the blocks that hold it, where the texts are put
+    together by position.  Words and positions come from two passes over `docs`,
+    which should be files or a cut: its rows and their order must be the same in
+    both.  A block that does not get the ids of all its words raises.
     """
-    vocabulary = _file(docs.sparkSession, path)
-
-    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = docs.sparkSession
+    vocabulary = _file(spark, path)
+    deals = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, words, *_ in _blocks(batches, pattern, block_bytes):
+            raw = [w.encode("utf-8", "surrogatepass") for w in words]
+            deal = np.fromiter((zlib.crc32(w) % deals for w in raw), np.int32, len(raw))
+            order = np.argsort(deal, kind="stable")
+            found, starts = np.unique(deal[order], return_index=True)
+            rows = []
+            for group in np.split(order, starts[1:]) if len(raw) else []:
+                own = [raw[i] for i in group.tolist()]
+                rows.append(_pack(np.array([len(own)], "<u4"), group.astype("<u4"), np.array([len(w) for w in own], "<u4"), np.frombuffer(b"".join(own), np.uint8)))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array(rows, pa.binary())], ["deal", "block", "packed"])
+
+    def encode_words(t: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
         piece = _coder(vocabulary.value, pattern)._encode_single_piece
-        for b in batches:
-            ids = [np.asarray(piece(w), np.uint32) for w in b.column(0).to_pylist()]
-            offsets = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            yield pa.RecordBatch.from_arrays([b.column(0), binary(np.concatenate(ids) if ids else np.empty(0, np.uint32), offsets)], ["word", "ids"])
-
-    def back(t: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        deal = None
+        once: dict[bytes, list[int]] = {}
+        for row in zip(t.column("deal").to_pylist(), t.column("block").to_pylist(), t.column("packed"), strict=True):
+            if row[0] != deal:
+                deal, once = row[0], {}
+            data = zstandard.ZstdDecompressor().decompress(row[2].as_py())
+            n = int(np.frombuffer(data, "<u4", 1)[0])
+            places, ends = np.frombuffer(data, "<u4", n, 4), np.append(0, np.cumsum(np.frombuffer(data, "<u4", n, 4 + 4 * n), dtype=np.int64)) + 4 + 8 * n
+            ids = []
+            for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                w = data[a:z]
+                if w not in once:
+                    once[w] = piece(w)
+                ids.append(once[w])
+            flat = np.fromiter((i for x in ids for i in x), "<u4")
+            kind = "<u2" if not len(flat) or flat.max() < 2**16 else "<u4"
+            packed = _pack(np.array([n, int(kind[2])], "<u4"), places, np.array([len(x) for x in ids], "<u4"), flat.astype(kind))
+            yield pa.RecordBatch.from_arrays([pa.array([row[1]], pa.int64()), pa.array([1], pa.int32()), pa.array([None], pa.list_(pa.int64())), pa.array([None], pa.list_(pa.int32())), pa.array([packed], pa.binary())], ["block", "kind", "ids", "lengths", "packed"])
+
+    def positions_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, words, places, ids, lengths in _blocks(batches, pattern, block_bytes):
+            packed = np.array([len(words)], "<u4").tobytes() + _packed(places)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([packed], pa.binary())], ["block", "kind", "ids", "lengths", "packed"])
+
+    def together(t: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            # the block's own row has no word and comes first; then its words by place
             own = t.slice(a, 1)
+            if own.column("kind")[0].as_py() != 0:
+                raise RuntimeError("words of a block without its texts: the input changed between two passes")
             doc_ids, lengths = (own.column(c).combine_chunks().flatten() for c in ("ids", "lengths"))
-            data, at = utf8(t.slice(a + 1, z - a - 1).column("word_ids"))
-            flat, at = data.view(np.uint32) if data.flags.c_contiguous and not data.ctypes.data % 4 else np.frombuffer(data.tobytes(), np.uint32), at // 4
-            places, lengths = _unpacked(own.column("places")[0].as_py()), lengths.to_numpy().astype(np.int64)
-            ends = np.cumsum(lengths)
-            step = 200_000  # words assembled at a time
+            packed = own.column("packed")[0].as_py()
+            places, size = _unpacked(packed[4:]), int(np.frombuffer(packed, "<u4", 1)[0])
+            counts, got = np.zeros(size, np.int64), []
+            for row in t.column("packed").slice(a + 1, z - a - 1):
+                data = zstandard.ZstdDecompressor().decompress(row.as_py())
+                n, width = np.frombuffer(data, "<u4", 2).tolist()
+                spot, k = np.frombuffer(data, "<u4", n, 8), np.frombuffer(data, "<u4", n, 8 + 4 * n).astype(np.int64)
+                counts[spot] = k
+                got.append((spot, k, np.frombuffer(data, f"<u{width}", -1, 8 + 8 * n)))
+            if sum(len(s) for s, _, _ in got) != size or not counts.all():
+                raise RuntimeError("a block lacks words: the input changed between two passes")
+            at = np.append(0, np.cumsum(counts))
+            flat = np.empty(at[-1], np.uint32)
+            for spot, k, ids in got:
+                flat[np.repeat(at[spot] - np.cumsum(k) + k, k) + np.arange(len(ids))] = ids
+            ends = np.cumsum(lengths.to_numpy().astype(np.int64))
             lo = 0
-            while lo < len(lengths):
+            while lo < len(ends):  # some 200,000 words at a time
                 start = ends[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(ends, start + step, "right")))
+                hi = max(lo + 1, int(np.searchsorted(ends, start + 200_000, "right")))
                 p = places[start : ends[hi - 1]]
-                n = at[p + 1] - at[p]
-                to = np.zeros(len(p) + 1, np.int64)
-                np.cumsum(n, out=to[1:])
+                n = counts[p]
+                to = np.append(0, np.cumsum(n))
                 tokens = flat[np.repeat(at[p] - to[:-1], n) + np.arange(to[-1])]
-                rows = to[np.append(0, ends[lo:hi] - start)]
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), binary(tokens, rows)], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), binary(tokens, to[np.append(0, ends[lo:hi] - start)])], ["id", "ids"])
                 lo = hi
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = pre_tokens(rows, pattern, block_bytes)
-    placed = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    words = placed.select("word").distinct().mapInArrow(encode_words, "word string, ids binary")
-    none = lambda kind: F.lit(None).cast(kind)
-    dealt = placed.join(words, "word").select("block", "place", F.col("ids").alias("word_ids"), none("array<long>").alias("ids"), none("array<int>").alias("lengths"), none("binary").alias("places"))
-    own = blocks.select("block", F.lit(-1).alias("place"), none("binary").alias("word_ids"), "ids", "lengths", "places")
-    return grouped(own.union(dealt), ["block"], back, "id long, ids binary", order=["place"])
+    kind = "block long, kind int, ids array<long>, lengths array<int>, packed binary"
+    dealt = grouped(rows.mapInArrow(words_out, "deal int, block long, packed binary"), ["deal"], encode_words, kind)
+    return grouped(rows.mapInArrow(positions_out, kind).union(dealt), ["block"], together, "id long, ids binary", order=["kind"])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

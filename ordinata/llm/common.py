@@ -186,7 +186,7 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], count: st
 
 
 def chunk_pairs(rows: DataFrame, key: str, big: DataFrame, most: int) -> DataFrame:
-    """`rows` (with `id`) with `part`: all 0 in a group of `key` that is not in `big` (key, all), else a row for each pair of chunks.
+    """`rows` (with `id`) with `part` and `chunk`: all 0 in a group of `key` that is not in `big` (key, all), else a row for each pair of chunks.
 
     A group of `big` is cut into q = all / most chunks by hash of `id`, and a row
     of chunk c goes to the q parts of (c, d), so that any two rows of the group
@@ -195,4 +195,22 @@ def chunk_pairs(rows: DataFrame, key: str, big: DataFrame, most: int) -> DataFra
     q = F.coalesce(F.ceil(F.col("all") / most).cast("int"), F.lit(1))
     d = rows.join(small_side(cut(big.select(key, "all"))), key, "left").withColumn("q", q).withColumn("c", F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("q")).cast("int"))
     d = d.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    return d.withColumn("part", F.least("c", "d").cast("long") * 65536 + F.greatest("c", "d")).drop("q", "c", "d", "all")
+    return d.withColumn("part", F.least("c", "d").cast("long") * 65536 + F.greatest("c", "d")).withColumnRenamed("c", "chunk").drop("q", "d", "all")
+
+
+def search(n: int, alike) -> Iterator[tuple[int, np.ndarray]]:
+    """Components of n nodes, breadth first: (root, members found from it); alike(i, others) says which of `others` node i meets.
+
+    A node is compared with nodes that no component has yet, so a dense group costs little more than its size.
+    """
+    free = np.arange(n)
+    while len(free) > 1:
+        root, free = int(free[0]), free[1:]
+        todo = [root]
+        while todo and len(free):
+            hit = alike(todo.pop(), free)
+            if hit.any():
+                found = free[hit]
+                free = free[~hit]
+                todo += found.tolist()
+                yield root, found

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordinata.llm.common import binary, chunk_pairs, components, cut, grouped, join_classes, small_side, utf8
+from ordinata.llm.common import binary, chunk_pairs, components, cut, grouped, join_classes, search, small_side, utf8
 from ordinata.llm.texts import U, mix, shingle_hashes, slices, word_hashes
 
 #: Minima kept of each set, and those of them that make bands of two: two sets at similarity 0.8
@@ -59,24 +59,6 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>, sketch binary")
 
 
-def _search(n: int, alike) -> Iterator[tuple[int, np.ndarray]]:
-    """Components of n nodes, breadth first: (root, members found from it); alike(i, others) says which of `others` node i meets.
-
-    A node is compared with nodes that no component has yet, so a dense group costs little more than its size.
-    """
-    free = np.arange(n)
-    while len(free) > 1:
-        root, free = int(free[0]), free[1:]
-        todo = [root]
-        while todo and len(free):
-            hit = alike(todo.pop(), free)
-            if hit.any():
-                found = free[hit]
-                free = free[~hit]
-                todo += found.tolist()
-                yield root, found
-
-
 def _buckets(t: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) that join those sets of a bucket whose sizes and sketches allow similarity 0.8."""
     sketch = utf8(t.column("sketch"))[0].reshape(-1, MINIMA)
@@ -94,7 +76,7 @@ def _buckets(t: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
             fits[fits] = (own[free[fits]] == own[i]).sum(1) >= ALIKE
             return fits
 
-        for root, found in _search(hi - lo, alike):
+        for root, found in search(hi - lo, alike):
             a.append(np.full(len(found), ids[lo + root]))
             b.append(ids[lo + found])
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -133,7 +115,7 @@ def product(h: np.ndarray, at: np.ndarray, percent: int) -> Iterator[tuple[int,
         overlap = np.bincount(state["posts"][np.repeat(start - ends + count, count) + np.arange(total)], minlength=len(n))[free]
         return (overlap > 0) & (100 * overlap >= percent * (n[i] + n[free] - overlap))
 
-    yield from _search(len(n), alike)
+    yield from search(len(n), alike)
 
 
 def link(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinata.llm import bpe, fingerprint, jaccard, kdtree, langid, urlfilter
+from ordinata.llm import bpe, fingerprint, jaccard, kdtree, langid, mixing, nearvec, quality, toxicity, urlfilter
 from ordinata.llm.common import table
 
 
@@ -53,10 +53,35 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return d.select(F.col("id").alias("doc_id"), F.col("content").alias("content_score"), F.col("page").alias("page_score"), "score", "keep")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return d.withColumnRenamed("id", "doc_id")
+
+
+#: Shares of the tokens that op7 aims at: clean, low quality, toxic.
+MIX = [0.94, 0.05, 0.01]
+
+
+def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
+    d = mixing.mix(docs, mixing.domains(table(spark, sf_dir, "labels")), MIX)
+    return d.select(F.col("id").alias("doc_id"), "tokens", *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(("clean", "low", "toxic"))], "rate", "copies")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES)).withColumnRenamed("id", "page_id")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = nearvec.links(table(spark, sf_dir, "embeddings"), cosine=0.93)
+    return d.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
     return d.select(
@@ -71,7 +96,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_byte_level_bpe": op2_byte_level_bpe,
         "op3_kd_tree_sharding": op3_kd_tree_sharding,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_quality_classifier": op5_quality_classifier,
+        "op6_toxicity": op6_toxicity,
+        "op7_mixing_sources": op7_mixing_sources,
         "op8_url_filters": op8_url_filters,
+        "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_document_fingerprints": op10_document_fingerprints,
     }
 

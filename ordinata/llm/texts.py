@@ -41,9 +41,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, gaps: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """Hashes of the words of each text, in order, and the n + 1 offsets of the texts in them.
 
+    `gaps` tells by byte what separates words.  For each length in `prefixes` one
+    more array follows, of the hashes of the words' first bytes (0 where a word is
+    not longer), which are no word's hashes.
+
     Words are runs of bytes other than space and 0x09-0x0D; `fold` lower-cases
     A-Z.  Equal words have equal hashes; the positional sum modulo 2^64 of random
     byte values, mixed with the length, makes a clash of two given words about
@@ -51,8 +55,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
     """
     n = len(data)
     if not n:
-        return np.empty(0, U), np.zeros(len(offsets), np.int64)
-    black = ~_SPACE[data]
+        return np.empty(0, U), np.zeros(len(offsets), np.int64), *[np.empty(0, U) for _ in prefixes]
+    black = ~gaps[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n + 1, bool)
@@ -61,6 +65,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
     starts = np.flatnonzero(here & (~before | edge))
     ends = np.flatnonzero(before & (~here | edge))
     out = np.empty(len(starts), U)
+    heads = [np.zeros(len(starts), U) for _ in prefixes]
     at = 0
     while at < len(starts):
         base = starts[at]
@@ -71,8 +76,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
         np.cumsum(_BYTE[_FOLD[block] if fold else block] * up[: len(block)], out=total[1:])
         s, e = starts[at:to] - base, ends[at:to] - base
         out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
+        for length, head in zip(prefixes, heads, strict=True):
+            long = np.flatnonzero(e - s > length)
+            head[at + long] = mix((total[s[long] + length] - total[s[long]]) * down[s[long]] + U(length + (1 << 40)))
         at = to
-    return out, np.searchsorted(starts, offsets)
+    return out, np.searchsorted(starts, offsets), *heads
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
