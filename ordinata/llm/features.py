@@ -103,15 +103,19 @@ VIEWS = {"content": lambda b: content(b.column("text")), "page": page}
 
 
 def draw(rows: DataFrame, most: int, seed: int = 11) -> DataFrame:
-    """At most about `most` of the rows (id, text, ...): those of least hash of id and text, so that a hot source is not preferred."""
+    """At most about `most` of the rows (id, text, ...), by hash of id and text, one of equal texts: copies teach once."""
     n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64("id", "text", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    few = rows if n <= most else rows.where(F.pmod(F.xxhash64("id", "text", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    return few.dropDuplicates(["text"])
 
 
-def select(rows: DataFrame, view: str, most: int = 20_000, least_z: float = 4.0, least_docs: int = 3) -> np.ndarray:
+def select(rows: DataFrame, view: str, most: int = 20_000, least_z: float = 4.0, least_share: float = 0.01, lift: float = 0.0) -> np.ndarray:
     """Sorted features of `view` that tell some class `y` of the (bounded) sample `rows` from the rest, by z-score; `most` of them at most.
 
-    Features are counted once a document, summed on the tasks, then by feature.
+    Features are counted once a document, summed on the tasks, then by feature.  A
+    feature must be in three documents and in `least_share` as many as the
+    smallest class has, so that the words of one text and its near copies do not pass for a class's.
+    With `lift`, its share of the last class must be that many times its share of the rest.
     """
     total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
@@ -132,7 +136,10 @@ def select(rows: DataFrame, view: str, most: int = 20_000, least_z: float = 4.0,
     for y in classes:
         inside, p = F.col(f"c{y}"), F.col("df") / n
         scores.append(F.abs(inside / total[y] - (F.col("df") - inside) / max(n - total[y], 1)) / F.sqrt(p * (1 - p) * (1 / total[y] + 1 / max(n - total[y], 1)) + 1e-300))
-    best = counted.where((F.col("df") >= least_docs) & (F.col("df") < n)).select("f", (F.greatest(*scores)).alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "f").limit(most)
+    if lift:
+        last, rest = F.col(f"c{classes[-1]}") / total[classes[-1]], (F.col("df") - F.col(f"c{classes[-1]}")) / (n - total[classes[-1]])
+        counted = counted.where(last >= lift * rest)
+    best = counted.where((F.col("df") >= max(3, least_share * min(total.values()))) & (F.col("df") < n)).select("f", (F.greatest(*scores)).alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "f").limit(most)
     return np.sort(np.array([r["f"] for r in best.collect()], np.int64).view(U))
 
 

@@ -56,7 +56,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, grades: int = 4)
     known = cut(draw(docs.where("text is not null").join(marks, "id").select("id", "text", "y"), most))
     # only features more frequent in marked texts, by a wide margin, are evidence
     binary_rows = known.withColumn("y", (F.col("y") > 0).cast("int"))
-    chosen = select(binary_rows, "content", most=5000, least_z=5.0)
+    chosen = select(binary_rows, "content", most=5000, least_z=5.0, least_share=0.03, lift=5.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for batch in batches for s in slices(batch, "text")):
