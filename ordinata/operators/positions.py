@@ -55,20 +55,28 @@ def _stretch(xs: Rel) -> Column:
     drawn = keys.orderBy(F.xxhash64(*names)).limit(BOUND_SAMPLE).collect()
     rows = [tuple(r) for r in drawn]
     for i in reversed(range(len(names))):  # stable: the last key first
-        rows.sort(key=lambda r, i=i: r[i], reverse=not xs.dirs[i])
+        # as Spark orders: nulls (an appended list has them) before all values, after them where the order falls
+        rows.sort(key=lambda r, i=i: (r[i] is not None, r[i] if r[i] is not None else 0), reverse=not xs.dirs[i])
     bounds = [rows[len(rows) * k // parts] for k in range(1, parts)] if len(rows) > 8 * parts else []
     types = dict(keys.dtypes)
     out = F.lit(0)
     for bound in bounds:
         passed, same = F.lit(False), F.lit(True)
         for c, up, v in zip(names, xs.dirs, bound, strict=True):
-            v = F.lit(v).cast(types[c])
-            passed = passed | (same & (F.col(c) > v if up else F.col(c) < v))
-            same = same & (F.col(c) == v)
+            passed = passed | (same & _after(F.col(c), v, types[c], up))
+            same = same & F.col(c).eqNullSafe(F.lit(v).cast(types[c]))
         out = out + F.when(passed, 1).otherwise(0)
     return out
 
 
+def _after(c: Column, v: object, kind: str, up: bool) -> Column:
+    """Whether a value comes after a bound, which may be null."""
+    if v is None:
+        return c.isNotNull() if up else F.lit(False)
+    v = F.lit(v).cast(kind)
+    return F.coalesce(c > v, F.lit(False)) if up else F.coalesce(c < v, F.lit(True))
+
+
 def take(xs: Rel, n: int | Column, within: Sequence[str] = ()) -> Rel:
     """The first n, none for a negative n.  A literal n on the whole list keeps only n rows a task."""
     if isinstance(n, int) and not within:

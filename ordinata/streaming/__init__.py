@@ -1,0 +1 @@
+"""Lists here are finite and read as batches: there is no streaming operator."""
