@@ -25,7 +25,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: int, most: int = 8
     examples all domains are as likely.  Null texts have no words.
     """
     marks = labelled.where((F.col("y") >= 0) & (F.col("y") < domains)).groupBy("id").agg(F.min("y").cast("int").alias("y"))
-    known = cut(draw(docs.where("text is not null").join(marks, "id").select("id", "text", "y"), most))
+    known = cut(draw(docs.select("id", "text").where("text is not null").join(marks, "id").select("id", "text", "y"), most))
     chosen = {"content": select(known, "content", most=10_000)}
     _, y, x = sample_rows(known, chosen)
     discard(known)

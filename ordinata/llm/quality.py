@@ -56,7 +56,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, pool: int = 6000,
     the share of the only class.
     """
     marks = labels.where("y in (0, 1)").groupBy("id").agg(F.min("y").cast("int").alias("y"))
-    base = docs.where("text is not null").join(marks, "id", "left")
+    base = docs.select("id", "text", "source", "lang").where("text is not null").join(marks, "id", "left")
     known = cut(draw(base.where("y is not null"), most))
     free = cut(draw(base.where("y is null"), pool, seed=12).withColumn("y", F.lit(-1)))
     chosen = {view: select(known, view) for view in VIEWS}

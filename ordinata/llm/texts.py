@@ -90,7 +90,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[
     if not n:
         return np.empty(0, U), np.zeros(docs + 1, np.int64)
     acc = np.zeros(n, U)
-    for j in range(k):
+    for j in range(min(k, n)):
         acc[: n - j] += words[j:] * _BYTE[j]
     shingles = np.where(count >= k, count - k + 1, (count > 0).astype(np.int64))
     to = np.zeros(docs + 1, np.int64)
@@ -99,7 +99,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[
     out = mix(acc[at] + U(k))
     for d in np.flatnonzero((count > 0) & (count < k)):  # one shingle of fewer words
         w = words[offsets[d] : offsets[d + 1]]
-        out[to[d]] = mix(np.array([(w * _BYTE[: len(w)]).sum() + U(len(w)) * U(_BASE)], U))[0]
+        out[to[d]] = mix((w * _BYTE[: len(w)]).sum(keepdims=True) + U(len(w) * _BASE % 2**64))[0]
     return out, to
 
 

@@ -53,7 +53,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, grades: int = 4)
     several grades has the highest.  Fewer than two grades: everything is clean.
     """
     marks = labels.where("y is not null and y >= 0").groupBy("id").agg(F.max("y").cast("int").alias("y"))
-    known = cut(draw(docs.where("text is not null").join(marks, "id").select("id", "text", "y"), most))
+    known = cut(draw(docs.select("id", "text").where("text is not null").join(marks, "id").select("id", "text", "y"), most))
     # only features more frequent in marked texts, by a wide margin, are evidence
     binary_rows = known.withColumn("y", (F.col("y") > 0).cast("int"))
     chosen = select(binary_rows, "content", most=5000, least_z=5.0, least_share=0.03, lift=5.0)
