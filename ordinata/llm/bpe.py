@@ -6,7 +6,7 @@ import base64
 import functools
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ import regex
 import tiktoken
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordinata.llm.common import binary, grouped, utf8
@@ -27,6 +27,9 @@ def _file(spark, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
 @functools.lru_cache(maxsize=2)
 def ranks(data: bytes) -> dict[bytes, int]:
     """The token-byte table of lines `base64 rank`."""
@@ -69,14 +72,23 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes: int) -
     it holds.
     """
     find = regex.compile(pattern).findall
-    held: list[pa.RecordBatch] = []
-    size = number = 0
-    task = TaskContext.get().partitionId()
+    task, number, size = TaskContext.get().partitionId(), 0, 0
+    places: dict[str, int] = {}
+    spots: list[np.ndarray] = []
+    lengths: list[int] = []
+    ids: list = []
 
     def flush() -> tuple[int, list[str], np.ndarray, list, list[int]]:
-        places: dict[str, int] = {}
-        spots, lengths, ids = [], [], []
-        for b in held:
+        spot, listed = np.concatenate(spots), list(places)
+        order = np.argsort(-np.bincount(spot, minlength=len(places)), kind="stable")
+        rank = np.empty(len(places), np.int32)
+        rank[order] = np.arange(len(places), dtype=np.int32)
+        listed = [listed[i] for i in order.tolist()]
+        name = hashlib.blake2b(repr((task, number, ids[0], ids[-1], len(ids), len(spot), len(listed), listed[:9])).encode("utf-8", "surrogatepass"), digest_size=8)
+        return int.from_bytes(name.digest(), "little", signed=True), listed, rank[spot], ids, lengths
+
+    for batch in batches:
+        for b in slices(batch, "text", 1 << 20):
             ids += b.column(0).to_pylist()
             for t in b.column(1).to_pylist():
                 words = find(t or "")
@@ -85,27 +97,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes: int) -
                         places[w] = len(places)
                 spots.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
                 lengths.append(len(words))
-        spot, listed = np.concatenate(spots), list(places)
-        order = np.argsort(-np.bincount(spot, minlength=len(places)), kind="stable")
-        rank = np.empty(len(places), np.int64)
-        rank[order] = np.arange(len(places))
-        listed = [listed[i] for i in order.tolist()]
-        name = hashlib.blake2b(repr((task, number, ids[0], ids[-1], len(ids), len(spot), len(listed), listed[:9])).encode("utf-8", "surrogatepass"), digest_size=8)
-        return int.from_bytes(name.digest(), "little", signed=True), listed, rank[spot], ids, lengths
-
-    for b in (s for batch in batches for s in slices(batch, "text", block_bytes)):
-        held.append(b)
-        size += b.nbytes
-        if size >= block_bytes:
-            yield flush()
-            held, size, number = [], 0, number + 1
-    if held:
+            size += b.column(1).nbytes
+            if size >= block_bytes:
+                yield flush()
+                places, spots, lengths, ids, size, number = {}, [], [], [], 0, number + 1
+    if ids:
         yield flush()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, then: Batches | None = None, schema: str = "id long, ids binary") -> DataFrame:
     """(id, ids): the token ids of every text, as little-endian unsigned 32-bit integers.
 
+    `then` maps the batches of the result to ones of `schema` where they are made, in the same Python process.
+
     Null texts count as empty and have no tokens; repeated rows are encoded row by
     row; other columns are not read; no rows, no rows.  Special tokens have no
     meaning: their strings are ordinary text.
@@ -159,6 +163,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             packed = np.array([len(words)], "<u4").tobytes() + _packed(places)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([packed], pa.binary())], ["block", "kind", "ids", "lengths", "packed"])
 
+    def assembled(t: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        made = together(t, offsets)
+        return then(made) if then else made
+
     def together(t: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             own = t.slice(a, 1)
@@ -195,17 +203,17 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = "block long, kind int, ids array<long>, lengths array<int>, packed binary"
     dealt = grouped(rows.mapInArrow(words_out, "deal int, block long, packed binary"), ["deal"], encode_words, kind)
-    return grouped(rows.mapInArrow(positions_out, kind).union(dealt), ["block"], together, "id long, ids binary", order=["kind"])
+    return grouped(rows.mapInArrow(positions_out, kind).union(dealt), ["block"], assembled, schema, order=["kind"])
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(id, ids, decoded): the bytes of each row's ids, by a join with the token-byte table.
+def decoder(spark: SparkSession, path: str) -> Batches:
+    """What adds `decoded` to batches (id, ids): a join with the token-byte table.
 
     The table has a row for each token of the vocabulary file and is broadcast:
     its size is the tokenizer's, whatever the corpus.  An id that is not in the
     table raises.  No ids, no bytes.
     """
-    vocabulary = _file(encoded.sparkSession, path)
+    vocabulary = _file(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _token_bytes(vocabulary.value)
@@ -213,11 +221,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             data, at = utf8(b.column("ids"))
             ids = np.frombuffer(data.tobytes(), np.uint32)
-            if len(ids) and not lengths[ids].all():
+            if len(ids) and (ids.max() >= len(lengths) or not lengths[ids].all()):
                 raise ValueError("an id is not in the token table")
-            ends = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum(lengths[ids], out=ends[1:])
+            ends = np.append(0, np.cumsum(lengths[ids]))
             text = np.frombuffer(b"".join(map(tokens.__getitem__, ids.tolist())), np.uint8)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), binary(text, ends[at // 4])], ["id", "ids", "decoded"])
 
-    return encoded.select("id", "ids").mapInArrow(run, "id long, ids binary, decoded binary")
+    return run
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(id, ids, decoded): the bytes of each row's ids, as `decoder` gives them."""
+    return encoded.select("id", "ids").mapInArrow(decoder(encoded.sparkSession, path), "id long, ids binary, decoded binary")

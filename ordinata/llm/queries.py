@@ -28,15 +28,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text: encoded, then decoded from the ids."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    decode = bpe.decoder(docs.sparkSession, path)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in decode(batches):
             ids, text = b.column("ids").to_pylist(), b.column("decoded").to_pylist()
             sha = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), sha(ids), sha(text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, then=digest, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
