@@ -57,7 +57,7 @@ def test_thresholds_are_ordered_and_share_weights():
 
 
 def test_graded_labels_are_taken_as_they_are(spark):
-    rows = [(i, " ".join(["fine"] * 5 + ["mild"] * (i % 3 == 1) + ["severe"] * (i % 3 == 2) + [f"w{i % 11}"]), None, None, None) for i in range(300)]
+    rows = [(i, " ".join(["fine"] * 5 + ["mild"] * (i % 3 == 1) + ["severe"] * (i % 3 == 2) + [f"u{i}"]), None, None, None) for i in range(300)]
     d = messy(spark, rows, DOCS)
     model = toxicity.fit(d.withColumn("id", F.col("doc_id")), spark.createDataFrame([(i, i % 3) for i in range(300)], "id long, y int"))
     assert len(model.thresholds) == 2
