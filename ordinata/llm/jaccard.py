@@ -17,8 +17,8 @@ from ordinata.llm.texts import U, mix, shingle_hashes, slices, word_hashes
 MINIMA, BANDS, ROWS = 96, 18, 2
 #: Equal minima of 96 from which two sets of one bucket share a block: fewer at 0.8 with probability 3e-7.
 ALIKE = 54
-#: Hashes of a product's block.
-BLOCK = 2_000_000
+#: Sets of a bucket, and hashes of a product's block, above which they are cut in pairs of chunks.
+CROWD, BLOCK = 4096, 500_000
 _rng = np.random.Generator(np.random.PCG64(0xD0C5))
 _XOR, _MUL = _rng.integers(0, 2**64, MINIMA, dtype=U), _rng.integers(0, 2**64, MINIMA, dtype=U) | U(1)
 
@@ -141,7 +141,9 @@ def link(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id",
     classes = cut(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("members")))
     reps = full.join(classes.select("s1", "s2", F.col("rep").alias("id")), ["s1", "s2", "id"], "left_semi").dropDuplicates(["s1", "s2"])
     buckets = reps.select("id", "n", "sketch", F.explode("bands").alias("key"))
-    blocks = components(grouped(buckets, ["key"], _buckets, "a long, b long"))
+    crowded = buckets.groupBy("key").agg(F.count("*").alias("all")).where(F.col("all") > CROWD)
+    buckets = chunk_pairs(buckets, "key", crowded, CROWD)
+    blocks = components(grouped(buckets, ["key", "part"], _buckets, "a long, b long"))
     blocks = cut(blocks.select(F.col("v").alias("id"), F.col("comp").alias("block")))
 
     def sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
