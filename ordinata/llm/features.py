@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordinata.llm.common import utf8
+from ordinata.llm.common import cut, small_side, utf8
 from ordinata.llm.texts import U, mix, slices, word_hashes
 
 #: Bytes that end a word here: ASCII other than letters.
@@ -102,11 +102,23 @@ def hash_text(value: str | None) -> int:
 VIEWS = {"content": lambda b: content(b.column("text")), "page": page}
 
 
-def draw(rows: DataFrame, most: int, seed: int = 11) -> DataFrame:
-    """At most about `most` of the rows (id, text, ...), by hash of id and text, one of equal texts: copies teach once."""
-    n = rows.count()
-    few = rows if n <= most else rows.where(F.pmod(F.xxhash64("id", "text", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    return few.dropDuplicates(["text"])
+def _lot(seed: int, share: float) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, share))
+
+
+def labelled(docs: DataFrame, marks: DataFrame, most: int, seed: int = 11) -> DataFrame:
+    """The rows of `docs` (id, text, ...) that `marks` (id, y) label, of at most about `most` labels, drawn by hash of id; one of equal texts.
+
+    The labels are drawn before they meet the texts, so that texts are not dealt.
+    """
+    few = cut(marks.where(_lot(seed, most / max(marks.count(), 1))))
+    return docs.where("text is not null").join(small_side(few), "id").dropDuplicates(["text"])
+
+
+def unlabelled(docs: DataFrame, marks: DataFrame, most: int, seed: int = 12) -> DataFrame:
+    """At most about `most` rows of `docs` without a label, drawn by hash of id; one of equal texts."""
+    few = docs.where("text is not null").where(_lot(seed, most / max(docs.count(), 1)))
+    return few.join(marks.select("id"), "id", "left_anti").dropDuplicates(["text"])
 
 
 def select(rows: DataFrame, view: str, most: int = 20_000, least_z: float = 4.0, least_share: float = 0.01, lift: float = 0.0) -> np.ndarray:

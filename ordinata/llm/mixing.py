@@ -10,22 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordinata.llm.common import cut, discard, utf8
-from ordinata.llm.features import content, draw, rows_of, select
+from ordinata.llm.features import content, labelled, rows_of, select
 from ordinata.llm.linear import Rows, softmax
 from ordinata.llm.quality import sample_rows
 from ordinata.llm.texts import slices, word_hashes
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, domains: int, most: int = 8000) -> DataFrame:
+def posteriors(docs: DataFrame, labels: DataFrame, domains: int, most: int = 8000) -> DataFrame:
     """(id, tokens, p): of every row (id, text) its words and the probability of each domain.
 
-    `labelled` (id, y) gives some rows' domain, 0 to `domains` - 1; a multinomial
+    `labels` (id, y) gives some rows' domain, 0 to `domains` - 1; a multinomial
     regression on text features learns from at most about `most` of them, drawn by
-    hash of id and text.  A domain without examples has probability 0.  Without any
+    hash of id.  A domain without examples has probability 0.  Without any
     examples all domains are as likely.  Null texts have no words.
     """
-    marks = labelled.where((F.col("y") >= 0) & (F.col("y") < domains)).groupBy("id").agg(F.min("y").cast("int").alias("y"))
-    known = cut(draw(docs.select("id", "text").where("text is not null").join(marks, "id").select("id", "text", "y"), most))
+    marks = labels.where((F.col("y") >= 0) & (F.col("y") < domains)).groupBy("id").agg(F.min("y").cast("int").alias("y"))
+    known = cut(labelled(docs.select("id", "text"), marks, most))
     chosen = {"content": select(known, "content", most=10_000)}
     _, y, x = sample_rows(known, chosen)
     discard(known)
@@ -118,12 +118,12 @@ def domains(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("id"), y.alias("y"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: list[float]) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: list[float]) -> DataFrame:
     """(id, tokens, p, rate, copies) of every row (id, text): the rates give the domains their `weights` of all tokens.
 
     The total stays; weights are scaled to 1.  No rows, no rows.
     """
     share = np.array(weights, float) / sum(weights)
-    table = cut(posteriors(docs, labelled, len(weights)))
+    table = cut(posteriors(docs, labels, len(weights)))
     out, _, _ = rates(table, lambda base, _: share * base.sum())
     return out.withColumn("copies", copies(F.col("rate"), F.col("id")))

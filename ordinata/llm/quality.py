@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordinata.llm.common import cut, discard
-from ordinata.llm.features import VIEWS, draw, rows_of, select
+from ordinata.llm.features import VIEWS, labelled, rows_of, select, unlabelled
 from ordinata.llm.linear import Rows, logistic, sigmoid
 from ordinata.llm.texts import U, slices
 
@@ -48,7 +48,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, pool: int = 6000,
     """Learn from rows (id, text, source, lang) and labels (id, y of 0 or 1).
 
     At most about `most` labelled and `pool` unlabelled rows are drawn, by hash of
-    id and text.  A fifth of the labelled ones is kept for calibration.  In each of
+    id, one of equal texts.  A fifth of the labelled ones is kept for calibration.  In each of
     `rounds` each view labels the up to `grow` pool rows of either class of which it
     is most certain (probability `sure` or more) for the other view.  Rows without a
     label in 0 or 1, or with null text, teach nothing; an id with several labels
@@ -56,9 +56,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, pool: int = 6000,
     the share of the only class.
     """
     marks = labels.where("y in (0, 1)").groupBy("id").agg(F.min("y").cast("int").alias("y"))
-    base = docs.select("id", "text", "source", "lang").where("text is not null").join(marks, "id", "left")
-    known = cut(draw(base.where("y is not null"), most))
-    free = cut(draw(base.where("y is null"), pool, seed=12).withColumn("y", F.lit(-1)))
+    base = docs.select("id", "text", "source", "lang")
+    known = cut(labelled(base, marks, most))
+    free = cut(unlabelled(base, marks, pool).withColumn("y", F.lit(-1)))
     chosen = {view: select(known, view) for view in VIEWS}
     ids, y, x = sample_rows(known, chosen)
     _, _, extra = sample_rows(free, chosen)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordinata.llm.common import cut, discard
-from ordinata.llm.features import content, draw, rows_of, select
+from ordinata.llm.features import content, labelled, rows_of, select
 from ordinata.llm.linear import Rows, ordinal, sigmoid
 from ordinata.llm.texts import U, slices
 
@@ -44,7 +44,7 @@ def _columns(batch: pa.RecordBatch, chosen: np.ndarray) -> tuple[Rows, np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, grades: int = 4) -> Model:
-    """Learn from rows (id, text) and labels (id, y): at most about `most` labelled rows, drawn by hash of id and text.
+    """Learn from rows (id, text) and labels (id, y): at most about `most` labelled rows, drawn by hash of id.
 
     `y` is a grade, 0 for clean.  Where the labels have only 0 and 1, the grades
     above 0 are made of the marked texts: features that tell marked from clean are
@@ -53,7 +53,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, grades: int = 4)
     several grades has the highest.  Fewer than two grades: everything is clean.
     """
     marks = labels.where("y is not null and y >= 0").groupBy("id").agg(F.max("y").cast("int").alias("y"))
-    known = cut(draw(docs.select("id", "text").where("text is not null").join(marks, "id").select("id", "text", "y"), most))
+    known = cut(labelled(docs.select("id", "text"), marks, most))
     # only features more frequent in marked texts, by a wide margin, are evidence
     binary_rows = known.withColumn("y", (F.col("y") > 0).cast("int"))
     chosen = select(binary_rows, "content", most=5000, least_z=5.0, least_share=0.03, lift=5.0)
