@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinata.llm import bpe, fingerprint, jaccard, kdtree, langid, mixing, nearvec, quality, toxicity, urlfilter
+from ordinata.llm import bpe, fingerprint, jaccard, kdtree, langid, mixing, nearvec, oracles, quality, toxicity, urlfilter
 from ordinata.llm.common import table
 
 
@@ -74,7 +74,8 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES)).withColumnRenamed("id", "page_id")
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES))
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,4 +107,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are learned, or rest on files and hashes that SQL has not."""
+    return {"op4_ngram_jaccard_join": oracles.JACCARD, "op8_url_filters": oracles.urls(URL_RULES), "op9_embedding_near_dedup": oracles.NEAR}

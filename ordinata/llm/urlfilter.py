@@ -66,11 +66,11 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
     return rank.select("kind", "host", F.col("r").alias("score"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.0, kin: float = 1.0) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 1e-12, kin: float = 1.0) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) for every page.
 
     A page that a rule fits has the rule's verdict.  Others take their host's:
-    block where distrust exceeds trust by more than `threshold`, else allow.
+    block where distrust exceeds trust by more than `threshold` (noise, by default), else allow.
     Trust is personalised PageRank from hosts with pages that rules allow,
     distrust the same from hosts with pages that rules block, against the
     direction of the edges (a host that links to blocked ones is suspect).
