@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordinata.rel import ORDER, Rel, Row, RowFn, named
 
-#: Rows drawn to place the bounds between the stretches that are numbered side by side.
-BOUND_SAMPLE = 2000
-
 
 def sort_with(xs: Rel, f: Callable[[Row], Column | Sequence[Column]]) -> Rel:
     """Stable, rising by key; a tuple of keys orders lexicographically."""
@@ -31,52 +29,24 @@ def reverse(xs: Rel) -> Rel:
 def number(xs: Rel, name: str = "pos", within: Sequence[str] = ()) -> Rel:
     """`xs` with field `name`: dense positions from 1.
 
-    Without `within`, the list is cut into stretches at bounds drawn from a small
-    sample; each stretch is numbered by itself, from where the stretches before it
-    end.  No task sees the whole list.
+    Without `within`, the list is dealt by ranges of its order and each partition
+    is numbered by itself, from where the partitions before it end; no task sees the
+    whole list.  The dealt rows are kept on the executors' disks, since numbers and
+    sizes must come from one partitioning; a lost one is made again with the same bounds.
     """
     if within:
         pos = F.row_number().over(Window.partitionBy(*within).orderBy(*xs.order())).cast("bigint")
         return Rel(xs.df.withColumn(name, pos), [*xs.fields, name], xs.dirs)
-    d = xs.df.withColumn("__stretch", _stretch(xs))
-    sizes = d.groupBy("__stretch").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__stretch", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # a row a stretch
-    own = F.row_number().over(Window.partitionBy("__stretch").orderBy(*xs.order()))
-    d = d.withColumn("__own", own).join(F.broadcast(starts), "__stretch").withColumn(name, (F.col("__start") + F.col("__own")).cast("bigint"))
+    # the id's high bits are the partition's number, its low 33 bits the row's place
+    d = xs.df.repartitionByRange(*xs.order()).sortWithinPartitions(*xs.order()).withColumn("__id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit(2**33 - 1))
+    sizes = d.groupBy(part.alias("__part")).agg((F.max(place) + 1).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # a row a partition
+    d = d.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + place + 1).cast("bigint"))
     return Rel(d.select(*[F.col(f"`{f}`") for f in xs.fields], name, *xs.order_columns), [*xs.fields, name], xs.dirs)
 
 
-def _stretch(xs: Rel) -> Column:
-    """The number of drawn bounds that come before a row."""
-    spark, names = xs.df.sparkSession, xs.order_columns
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = xs.df.select(*names)
-    drawn = keys.orderBy(F.xxhash64(*names)).limit(BOUND_SAMPLE).collect()
-    rows = [tuple(r) for r in drawn]
-    for i in reversed(range(len(names))):  # stable: the last key first
-        # as Spark orders: nulls (an appended list has them) before all values, after them where the order falls
-        rows.sort(key=lambda r, i=i: (r[i] is not None, r[i] if r[i] is not None else 0), reverse=not xs.dirs[i])
-    bounds = [rows[len(rows) * k // parts] for k in range(1, parts)] if len(rows) > 8 * parts else []
-    types = dict(keys.dtypes)
-    out = F.lit(0)
-    for bound in bounds:
-        passed, same = F.lit(False), F.lit(True)
-        for c, up, v in zip(names, xs.dirs, bound, strict=True):
-            passed = passed | (same & _after(F.col(c), v, types[c], up))
-            same = same & F.col(c).eqNullSafe(F.lit(v).cast(types[c]))
-        out = out + F.when(passed, 1).otherwise(0)
-    return out
-
-
-def _after(c: Column, v: object, kind: str, up: bool) -> Column:
-    """Whether a value comes after a bound, which may be null."""
-    if v is None:
-        return c.isNotNull() if up else F.lit(False)
-    v = F.lit(v).cast(kind)
-    return F.coalesce(c > v, F.lit(False)) if up else F.coalesce(c < v, F.lit(True))
-
-
 def take(xs: Rel, n: int | Column, within: Sequence[str] = ()) -> Rel:
     """The first n, none for a negative n.  A literal n on the whole list keeps only n rows a task."""
     if isinstance(n, int) and not within:

@@ -549,6 +549,18 @@ def _(t):
     return B.map_(d, lambda r: {"event_id": r.event_id, "v": F.round(r.v, 6)})
 
 
+@query("w3_all_preceding_whole_list", f"SELECT event_id, CAST(sum({sql_cents('value')}) OVER (ORDER BY event_id) AS BIGINT) AS v FROM events")
+def _(t):
+    d = windows.window(t("events", "event_id", "value"), "v", "sum", lambda r: cents(r.value))
+    return B.map_(d, lambda r: {"event_id": r.event_id, "v": r.v})
+
+
+@query("w4_n_preceding_whole_list", f"SELECT event_id, max({sql_cents('value')}) OVER (ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS v FROM events")
+def _(t):
+    d = windows.window(t("events", "event_id", "value"), "v", "max", lambda r: cents(r.value), 6)
+    return B.map_(d, lambda r: {"event_id": r.event_id, "v": r.v})
+
+
 @query("w8_projection_beside_window", "SELECT event_id, CAST(event_id * 2 AS BIGINT) AS twice, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS running FROM events")
 def _(t):
     d = windows.window(t("events", "event_id", "user_id"), "running", "sum", lambda r: r.event_id, None, ["user_id"])

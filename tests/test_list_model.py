@@ -63,12 +63,27 @@ def test_flat_operators(spark, values):
     assert G.null(xs).first()[0] == (not values)
 
 
-def test_long_lists_are_numbered_in_stretches(spark):
+def test_long_lists_are_numbered_in_parts(spark):
     values = [rng.randrange(1000) for _ in range(700)]
     xs = P.sort_with(P.number(literal(spark, values, "bigint"), "i"), lambda r: -r.value)
-    assert [p for *_, p in P.number(xs, "p").collect()] == list(range(1, 701))
-    plan = P.number(xs, "p").df._jdf.queryExecution().toString()
-    assert "__stretch" in plan
+    numbered = P.number(xs, "p")
+    assert [p for *_, p in numbered.collect()] == list(range(1, 701))
+    assert "rangepartitioning" in numbered.df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("preceding", [None, 0, 3, 9])
+def test_windows_over_a_whole_list(spark, monkeypatch, preceding):
+    monkeypatch.setattr(windows, "STRETCH", 4)
+    values = [rng.randrange(-9, 30) for _ in range(41)]
+    xs = P.reverse(literal(spark, values[::-1], "bigint"))
+    frames = [values[0 if preceding is None else max(0, i - preceding) : i + 1] for i in range(len(values))]
+    models = {"sum": sum, "min": min, "max": max, "avg": lambda f: sum(f) / len(f), "count": len, "first_value": lambda f: f[0]}
+    for name, model in models.items():
+        got = windows.window(xs, "w", name, lambda r: r.value, preceding).collect()
+        assert got == [(v, model(f)) for v, f in zip(values, frames, strict=True)], name
+    for name, model in {"all": all, "any": any}.items():
+        got = windows.window(xs, "w", name, lambda r: r.value > 0, preceding).collect()
+        assert got == [(v, model(x > 0 for x in f)) for v, f in zip(values, frames, strict=True)], name
 
 
 JOINS = [([1, 2, 2, 5], [2, 2, 3, 1]), ([], [1]), ([3, 4], []), ([rng.randrange(6) for _ in range(15)], [rng.randrange(6) for _ in range(12)])]
