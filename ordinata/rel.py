@@ -115,6 +115,12 @@ class Rel:
         rows = self.sorted().collect()
         return [_host(r[0]) if len(self.fields) == 1 else tuple(_host(v) for v in r) for r in rows]
 
+    def plan(self, mode: str = "formatted") -> str:
+        """The plan of the ordered list as text, to be shown or written to a file."""
+        from ordinata.plans.export import plan_text
+
+        return plan_text(self.sorted(), mode)
+
     def explain(self, mode: str = "formatted") -> None:
         """Print the plan of the ordered list."""
         self.sorted().explain(mode)

@@ -9,6 +9,7 @@ from ordinata.operators import basic as B
 from ordinata.operators import joins
 from ordinata.operators import positions as P
 from ordinata.plans.comp import Comp
+from ordinata.plans.export import plan_text
 from ordinata.sources import literal
 from pyspark.sql import functions as F
 
@@ -150,6 +151,28 @@ def test_correlated_generators_are_no_product(spark, small):
     assert "o_totalprice" not in plan.split("== Physical Plan ==")[1], "columns that are not used are not read"
 
 
+def test_a_plan_can_be_exported(spark, small):
+    from ordinata.sources import default_hints, table
+
+    xs = B.filter_(table(spark, "part", ("p_partkey", "p_size"), default_hints("p_partkey"), small), lambda r: r.p_size > 40)
+    text = B.map_(xs, lambda r: {"k": r.p_partkey}).plan()
+    assert "PushedFilters: [IsNotNull(p_size), GreaterThan(p_size,40)]" in text and "ReadSchema: struct<p_partkey:bigint,p_size:int>" in text
+
+
+def test_aggregates_are_not_gathered_first(spark, small):
+    from ordinata.plans.catalog import QUERIES
+
+    for name in ("a12_fold_group_fusion", "a14_having", "j8_group_join", "j9_group_join_merged", "c4_fold_in_head"):
+        plan = plan_text(QUERIES[name](spark, small))
+        assert "collect_list" not in plan and "Join" in plan or name.startswith("a"), name
+
+
+def test_a_limit_keeps_few_rows_a_task(spark, small):
+    from ordinata.plans.catalog import QUERIES
+
+    assert "TakeOrderedAndProject" in plan_text(QUERIES["o5_top_k"](spark, small))
+
+
 def test_laws(ints):
     values = [3, 1, 2, 3, 1, 5]
     xs = ints(values)
