@@ -50,7 +50,8 @@ def tree(points: DataFrame, shards: int) -> DataFrame:
     its bytes.  Points heavier than HEAVY of it go first, whole, to the side with
     most room.  The cut is found by histograms of 2^STEP_BITS bins over the keys,
     each time within the bin that holds it, for all nodes of a level at once: the
-    driver sees sums by bin, never points.
+    driver sees sums by bin, never points.  Plans grow with the nodes: meant for up to
+    some hundred shards.
     """
     points = points.withColumn("node", F.lit(0))
     parts, whole = {0: (0, shards)}, None

@@ -105,6 +105,16 @@ def calibrate(z: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
+def judged(m: Model, b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Each view's probability and the joint one of rows with text, source and lang."""
+    z = {}
+    for v in VIEWS:
+        c, at, _ = rows_of(*VIEWS[v](b), m.chosen[v])
+        z[v] = Rows(c, at, len(m.chosen[v])).dot(m.weights[v][:-1]) + m.weights[v][-1]
+    joint = sigmoid(m.joint[0] + sum(f * z[v] for f, v in zip(m.joint[1:], VIEWS, strict=True)))
+    return {v: sigmoid(x) for v, x in z.items()} | {"score": joint}
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(id, content, page, score): each view's own probability and the joint one, for every row (id, text, source, lang), from whole texts.
 
@@ -113,26 +123,35 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in (s for batch in batches for s in slices(batch, "text")):
-            z = []
-            for v in VIEWS:
-                c, at, _ = rows_of(*VIEWS[v](b), m.chosen[v])
-                z.append(Rows(c, at, len(m.chosen[v])).dot(m.weights[v][:-1]) + m.weights[v][-1])
-            joint = sigmoid(m.joint[0] + sum(f * x for f, x in zip(m.joint[1:], z, strict=True)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(sigmoid(x)) for x in z], pa.array(joint)], ["id", "content", "page", "score"])
+            found = judged(shared.value, b)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, found.values())], ["id", *found])
 
     return docs.select("id", "text", "source", "lang").mapInArrow(run, "id long, content double, page double, score double")
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` (with text, source and lang), all columns, whose joint score reaches `threshold`: no row is dealt."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (s for batch in batches for s in slices(batch, "text")):
+            yield b.filter(pa.array(judged(shared.value, b)["score"] >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` as rows (id, text, source, lang)."""
     have = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), have("source").alias("source"), have("lang").alias("lang"))
 
 
+def learned(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model for `docs` from `labels` with doc_id and quality."""
+    return fit(rows(docs), labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("y")))
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(id, content, page, score, keep) of every document; `labels` has doc_id and quality."""
-    d = rows(docs)
-    model = fit(d, labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("y")))
-    return score(d, model).withColumn("keep", F.col("score") >= threshold)
+    return score(rows(docs), learned(docs, labels)).withColumn("keep", F.col("score") >= threshold)

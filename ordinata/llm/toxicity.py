@@ -79,6 +79,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, grades: int = 4)
     return Model(chosen, weights, thresholds)
 
 
+def judged(m: Model, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The expected grade and the likeliest one of rows with text."""
+    r, _ = _columns(b, m.chosen)
+    over = sigmoid(r.dot(m.weights)[:, None] - m.thresholds)  # P(grade > k)
+    chance = np.concatenate((np.ones((len(over), 1)), over), 1) - np.concatenate((over, np.zeros((len(over), 1))), 1)
+    return over.sum(1), chance.argmax(1).astype(np.int32)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(id, severity, grade) of every row (id, text), from whole texts: the expected grade and the likeliest one.
 
@@ -89,18 +97,33 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in (s for batch in batches for s in slices(batch, "text")):
-            r, _ = _columns(b, m.chosen)
-            over = sigmoid(r.dot(m.weights)[:, None] - m.thresholds)  # P(grade > k)
-            chance = np.concatenate((np.ones((len(over), 1)), over), 1) - np.concatenate((over, np.zeros((len(over), 1))), 1)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(over.sum(1)), pa.array(chance.argmax(1).astype(np.int32))], ["id", "severity", "grade"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, judged(shared.value, b))], ["id", "severity", "grade"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, severity double, grade int")
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` (with text), all columns, whose expected grade stays under `threshold`: no row is dealt."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (s for batch in batches for s in slices(batch, "text")):
+            yield b.filter(pa.array(judged(shared.value, b)[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(id, severity, grade, toxic) of every document; `labels` has doc_id and toxic."""
-    d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    model = fit(d, labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").alias("y")))
-    return score(d, model).withColumn("toxic", F.col("severity") >= threshold)
+    return score(rows(docs), learned(docs, labels)).withColumn("toxic", F.col("severity") >= threshold)
+
+
+def rows(docs: DataFrame) -> DataFrame:
+    """`docs` as rows (id, text)."""
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+
+
+def learned(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model for `docs` from `labels` with doc_id and toxic."""
+    return fit(rows(docs), labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").alias("y")))

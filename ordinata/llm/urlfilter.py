@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordinata.llm.common import cut, discard, small_side
@@ -63,6 +63,8 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
             if old is not None:
                 discard(old)
             old = rank
+    discard(e)
+    discard(start)
     return rank.select("kind", "host", F.col("r").alias("score"))
 
 
@@ -101,6 +103,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     return out.select("id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.rverdict", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
-def rule_table(spark, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Rules (verdict, host, path) as a DataFrame."""
-    return spark.createDataFrame([(h, p, v) for v, h, p in rules], "rhost string, rpath string, rverdict string")
+def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Rules (verdict, host, path), at least one, as a DataFrame (rhost, rpath, rverdict)."""
+    rows = [F.struct(F.lit(h).alias("rhost"), F.lit(p).alias("rpath"), F.lit(v).alias("rverdict")) for v, h, p in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
