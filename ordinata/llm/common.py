@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,9 +17,22 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 _local_dir: list[str] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once, where their Python does not find it by PYTHONPATH or the working folder."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or root in (os.path.abspath(p) for p in found if p):
+        return
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/ordinata", "zip", root, "ordinata"))  # Spark serves the file from there
+    _shipped.add(app)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
