@@ -49,11 +49,11 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: int, most: int = 800
     return docs.select("id", "text").mapInArrow(run, "id long, tokens long, p array<double>")
 
 
-def _replayed(p: np.ndarray, errors: list[np.ndarray], step: float) -> np.ndarray:
+def _replayed(p: np.ndarray, errors: list[np.ndarray]) -> np.ndarray:
     """Rates after the gradient steps that `errors` record: from 1, down the expected errors, never below 0."""
     r = np.ones(len(p))
     for e in errors:
-        r = np.maximum(r - step * (p @ e), 0)
+        r = np.maximum(r - p @ e, 0)
     return r
 
 
@@ -67,41 +67,52 @@ def _mapped(table: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return table.mapInArrow(run, schema)
 
 
-def rates(table: DataFrame, targets: Callable[[np.ndarray, np.ndarray], np.ndarray], steps: int = 60, step: float = 0.8, close: float = 1e-3) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def rates(table: DataFrame, targets: Callable[[np.ndarray, np.ndarray], np.ndarray], steps: int = 60, close: float = 1e-3) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """`table` (id, tokens, p) with `rate`, and the wanted and the reached token totals by domain.
 
     `targets` gets the expected totals at rate 1, and the part of them from documents
-    that belong to the domain with probability 1 / 2 or more, and gives those wanted.  Projected
-    gradient descent on half the squared errors of the expected totals, each over
-    its domain's total at rate 1, in the metric of the documents' tokens: a step
-    moves a document's rate by its expected error, and rates below 0 go to 0.  Each
-    step is one pass that sums a number per domain; a rate is a function of the
-    document's posteriors and the past errors, so nothing is stored between passes
-    and a lost task repeats them.  Ends at `close` relative error or after `steps`.
-    A domain that no document has keeps its error and moves nothing.
+    that belong to the domain with probability 1 / 2 or more, and gives those wanted.
+    Projected gradient descent on half the squared errors of the expected totals, each
+    over its domain's sum of tokens times squared posteriors, in the metric of the
+    documents' tokens: a step moves a document's rate by its expected error, and rates
+    below 0 go to 0.  The step's length is one over the largest curvature, from the
+    domains' product sums.  Each step is one pass that sums a few numbers per domain; a
+    rate is a function of the document's posteriors and the past errors, so nothing is
+    stored between passes and a lost task repeats them.  Ends when no total is off by
+    more than `close` of its value at rate 1, or after `steps`.  A domain that no
+    document has keeps its error and moves nothing.
     """
 
-    def totals(errors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        def fn(b: pa.RecordBatch, tokens: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
-            mass = (_replayed(p, errors, step) * tokens)[:, None] * p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(p.shape[1], dtype=np.int32)), pa.array(mass.sum(0)), pa.array((mass * (p >= 0.5)).sum(0))], ["d", "s", "sure"])
-
-        got = sorted(_mapped(table, fn, "d int, s double, sure double").groupBy("d").agg(F.sum("s"), F.sum("sure")).collect())
-        return np.array([r[1] for r in got]), np.array([r[2] for r in got])
+    def sums(errors: list[np.ndarray]) -> np.ndarray:
+        """A row for each domain: its total, that of sure members, and its products with all domains."""
 
-    base, sure = totals([])
+        def fn(b: pa.RecordBatch, tokens: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+            mass = (_replayed(p, errors) * tokens)[:, None] * p
+            parts = np.column_stack([mass.sum(0), (mass * (p >= 0.5)).sum(0), mass.T @ p])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(parts), dtype=np.int32), parts.shape[1])), pa.array(np.tile(np.arange(parts.shape[1], dtype=np.int32), len(parts))), pa.array(parts.ravel())], ["d", "j", "s"])
+
+        got = _mapped(table, fn, "d int, j int, s double").groupBy("d", "j").agg(F.sum("s").alias("s")).collect()
+        out = np.zeros((max((r["d"] for r in got), default=-1) + 1, max((r["j"] for r in got), default=1) + 1))
+        for r in got:
+            out[r["d"], r["j"]] = r["s"]
+        return out
+
+    first = sums([])
+    base, sure, gram = first[:, 0], first[:, 1], first[:, 2:]
     want = targets(base, sure) if len(base) else base
+    curve = np.where(np.diag(gram) > 0, np.diag(gram), 1.0) if len(base) else np.ones(0)
+    step = 1 / max(np.linalg.eigvalsh(gram / np.sqrt(np.outer(curve, curve))).max(initial=0), 1.0) if len(base) else 1.0
     errors: list[np.ndarray] = []
     now = base
     for _ in range(steps):
-        error = np.where(base > 0, (now - want) / np.where(base > 0, base, 1), 0.0)
-        if np.abs(error).max(initial=0) <= close:
+        off = np.where(base > 0, now - want, 0.0)
+        if (np.abs(off) <= close * base).all():
             break
-        errors.append(error)
-        now, _ = totals(errors)
+        errors.append(step * off / curve)
+        now = sums(errors)[:, 0]
 
     def final(b: pa.RecordBatch, tokens: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tokens"), b.column("p"), pa.array(_replayed(p, errors, step))], ["id", "tokens", "p", "rate"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tokens"), b.column("p"), pa.array(_replayed(p, errors))], ["id", "tokens", "p", "rate"])
 
     return _mapped(table, final, "id long, tokens long, p array<double>, rate double"), want, now
 
