@@ -130,7 +130,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("id", "text", "source", "lang").mapInArrow(run, "id long, content double, page double, score double")
 
 
-def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` (with text, source and lang), all columns, whose joint score reaches `threshold`: no row is dealt."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -152,6 +152,9 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(rows(docs), labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("y")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(id, content, page, score, keep) of every document; `labels` has doc_id and quality."""
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(id, content, page, score, keep) of every document; `labels` has doc_id and quality.
+
+    The threshold leans to keeping: a text of a few words shows little either way.
+    """
     return score(rows(docs), learned(docs, labels)).withColumn("keep", F.col("score") >= threshold)
