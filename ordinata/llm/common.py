@@ -16,12 +16,20 @@ from pyspark.sql import functions as F
 #: Rows of a table that may be broadcast after they were counted (16 bytes a row: 16 MB at most).
 BROADCAST_ROWS = 1_000_000
 
+#: The setting of bytes in a batch, its default, and what is set here: long texts then stay within a worker's memory.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b", "12m")
+
 _local_dir: list[str] = []
 _shipped: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once, where their Python does not find it by PYTHONPATH or the working folder."""
+def prepare(spark: SparkSession) -> None:
+    """Bound the batches that go to Python, unless the session does, and send this package to executors that lack it.
+
+    Python finds the package by PYTHONPATH or the working folder; else it is sent, once.
+    """
+    if spark.conf.get(BATCH_BYTES[0]) == BATCH_BYTES[1]:
+        spark.conf.set(BATCH_BYTES[0], BATCH_BYTES[2])
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     found = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
     app = spark.sparkContext.applicationId
@@ -32,7 +40,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordinata.llm import bpe, fingerprint, jaccard, kdtree, langid, mixing, nearvec, oracles, quality, toxicity, urlfilter
-from ordinata.llm.common import ship, table
+from ordinata.llm.common import prepare, table
 
 
 #: The rules of op8: verdict, host, path.
@@ -27,7 +27,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text: encoded, then decoded from the ids."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     decode = bpe.decoder(docs.sparkSession, path)
 
