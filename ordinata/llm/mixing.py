@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: int, most: int = 800
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w, seen = shared.value
         for b in (s for batch in batches for s in slices(batch, "text")):
-            c, at, _ = rows_of(*content(b.column("text")), features)
+            c, at, _ = rows_of(content(b.column("text")), features)
             r = Rows(c, at, len(features))
             z = np.stack([r.dot(w[:-1, i]) for i in range(w.shape[1])], 1) + w[-1]
             e = np.exp(z - z.max(1, keepdims=True))
@@ -67,56 +68,77 @@ def _mapped(table: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return table.mapInArrow(run, schema)
 
 
-def rates(table: DataFrame, targets: Callable[[np.ndarray, np.ndarray], np.ndarray], steps: int = 60, close: float = 1e-3) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def rates(table: DataFrame, targets: Callable[[np.ndarray, np.ndarray], np.ndarray], steps: int = 200, close: float = 2e-4) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """`table` (id, tokens, p) with `rate`, and the wanted and the reached token totals by domain.
 
     `targets` gets the expected totals at rate 1, and the part of them from documents
     that belong to the domain with probability 1 / 2 or more, and gives those wanted.
-    Projected gradient descent on half the squared errors of the expected totals, each
-    over its domain's sum of tokens times squared posteriors, in the metric of the
-    documents' tokens: a step moves a document's rate by its expected error, and rates
-    below 0 go to 0.  The step's length is one over the largest curvature, from the
-    domains' product sums.  Each step is one pass that sums a few numbers per domain; a
-    rate is a function of the document's posteriors and the past errors, so nothing is
+    Projected gradient descent on half the squared errors of the expected totals, in
+    the metric of the documents' tokens: a step moves a document's rate by its
+    expected (scaled) error, and rates below 0 go to 0.  Steps are scaled by the inverse of the
+    domains' product sums over the documents with a positive rate, and halved while
+    the squared error does not fall; where that leads nowhere, by one over the largest curvature.
+    Each trial is one pass that sums a few numbers per domain; a
+    rate is a function of the document's posteriors and the past steps, so nothing is
     stored between passes and a lost task repeats them.  Ends when no total is off by
-    more than `close` of its value at rate 1, or after `steps`.  A domain that no
-    document has keeps its error and moves nothing.
+    more than `close` of the sum of all, or when no step lowers the error: the targets
+    are then out of reach, the totals those nearest to them, and a warning says how far off they are.  `steps`
+    passes without either raise.  A domain that no document has keeps its error and moves nothing.
     """
 
-    def sums(errors: list[np.ndarray]) -> np.ndarray:
-        """A row for each domain: its total, that of sure members, and its products with all domains."""
+    def sums(past: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By domain: totals, those of sure members, and products with all domains over the documents with a positive rate."""
 
         def fn(b: pa.RecordBatch, tokens: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
-            mass = (_replayed(p, errors) * tokens)[:, None] * p
-            parts = np.column_stack([mass.sum(0), (mass * (p >= 0.5)).sum(0), mass.T @ p])
+            r = _replayed(p, past)
+            mass = (r * tokens)[:, None] * p
+            parts = np.column_stack([mass.sum(0), (mass * (p >= 0.5)).sum(0), (p * (tokens * (r > 0))[:, None]).T @ p])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(parts), dtype=np.int32), parts.shape[1])), pa.array(np.tile(np.arange(parts.shape[1], dtype=np.int32), len(parts))), pa.array(parts.ravel())], ["d", "j", "s"])
 
         got = _mapped(table, fn, "d int, j int, s double").groupBy("d", "j").agg(F.sum("s").alias("s")).collect()
         out = np.zeros((max((r["d"] for r in got), default=-1) + 1, max((r["j"] for r in got), default=1) + 1))
         for r in got:
             out[r["d"], r["j"]] = r["s"]
-        return out
-
-    first = sums([])
-    base, sure, gram = first[:, 0], first[:, 1], first[:, 2:]
-    want = targets(base, sure) if len(base) else base
-    curve = np.where(np.diag(gram) > 0, np.diag(gram), 1.0) if len(base) else np.ones(0)
-    step = 1 / max(np.linalg.eigvalsh(gram / np.sqrt(np.outer(curve, curve))).max(initial=0), 1.0) if len(base) else 1.0
-    errors: list[np.ndarray] = []
-    now = base
-    for _ in range(steps):
-        off = np.where(base > 0, now - want, 0.0)
-        if (np.abs(off) <= close * base).all():
-            break
-        errors.append(step * off / curve)
-        now = sums(errors)[:, 0]
+        return out[:, 0], out[:, 1], out[:, 2:]
+
+    past, want, now = descend(sums, targets, steps, close)
 
     def final(b: pa.RecordBatch, tokens: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tokens"), b.column("p"), pa.array(_replayed(p, errors))], ["id", "tokens", "p", "rate"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tokens"), b.column("p"), pa.array(_replayed(p, past))], ["id", "tokens", "p", "rate"])
 
     return _mapped(table, final, "id long, tokens long, p array<double>, rate double"), want, now
 
 
+def descend(sums: Callable, targets: Callable, steps: int, close: float) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The steps that `rates` describes, the wanted and the reached totals; `sums` makes a pass over the documents."""
+    now, sure, gram = sums([])
+    want = targets(now, sure) if len(now) else now
+    if not now.any():
+        return [], want, now
+    has, scale = now > 0, now.sum()
+    off = lambda totals: np.where(has, totals - want, 0.0)
+    past: list[np.ndarray] = []
+    passes, newton = 1, True
+    while np.abs(off(now)).max() > close * scale:
+        error, ridge = off(now), 1e-9 * max(np.trace(gram), 1e-300)
+        # the metric of the tokens makes the plain step's curvature at most the largest eigenvalue
+        step = np.linalg.solve(gram + ridge * np.eye(len(now)), error) if newton else error / max(np.linalg.eigvalsh(gram).max(), 1e-300)
+        for _ in range(12):
+            new, _, new_gram = sums([*past, step])
+            if (passes := passes + 1) > steps:
+                raise RuntimeError(f"no rates after {steps} passes: totals {now.tolist()}, wanted {want.tolist()}")
+            if (off(new) ** 2).sum() < (1 - 1e-3) * (error**2).sum():
+                past, now, gram, newton = [*past, step], new, new_gram, True
+                break
+            step = step / 2
+        else:
+            if not newton:
+                warnings.warn(f"targets out of reach: totals {now.tolist()}, wanted {want.tolist()}", stacklevel=3)
+                break
+            newton = False
+    return past, want, now
+
+
 def copies(rate: Column, id_col: Column) -> Column:
     """Whole copies of a document for a rate: the fraction decides by hash of the id."""
     u = F.pmod(F.xxhash64(id_col, F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
@@ -130,11 +152,14 @@ def domains(labels: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: list[float]) -> DataFrame:
-    """(id, tokens, p, rate, copies) of every row (id, text): the rates give the domains their `weights` of all tokens.
+    """(id, tokens, p, rate, copies, reached) of every row (id, text): the rates give the domains their `weights` of all tokens.
 
-    The total stays; weights are scaled to 1.  No rows, no rows.
+    The total stays; weights are scaled to 1.  `reached`, the same in all rows, has the
+    domains' shares of all tokens at these rates: where documents cannot meet the
+    weights (a domain without documents) it tells how far off they are.  No rows, no rows.
     """
     share = np.array(weights, float) / sum(weights)
     table = cut(posteriors(docs, labels, len(weights)))
-    out, _, _ = rates(table, lambda base, _: share * base.sum())
-    return out.withColumn("copies", copies(F.col("rate"), F.col("id")))
+    out, want, now = rates(table, lambda base, _: share * base.sum())
+    reached = F.array(*[F.lit(float(x)) for x in now / max(want.sum(), 1e-300)]) if len(now) else F.lit(None).cast("array<double>")
+    return out.withColumn("copies", copies(F.col("rate"), F.col("id"))).withColumn("reached", reached)

@@ -71,7 +71,8 @@ MIX = [0.94, 0.05, 0.01]
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
     d = mixing.mix(docs, mixing.domains(table(spark, sf_dir, "labels")), MIX)
-    return d.select(F.col("id").alias("doc_id"), "tokens", *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(("clean", "low", "toxic"))], "rate", "copies")
+    of = lambda c: [F.col(c)[i].alias(f"{c}_{n}") for i, n in enumerate(("clean", "low", "toxic"))]
+    return d.select(F.col("id").alias("doc_id"), "tokens", *of("p"), "rate", "copies", *of("reached"))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
