@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be broadcast after they were counted (16 bytes a row: 16 MB at most).
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table that may be broadcast, after its rows and values were measured.
+BROADCAST_BYTES = 16 << 20
 
 #: The setting of bytes in a batch, its default, and what is set here: long texts then stay within a worker's memory.
-BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b", "12m")
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b", "4m")
 
 _local_dir: list[str] = []
 _shipped: set[str] = set()
@@ -77,12 +77,25 @@ def discard(df: DataFrame) -> None:
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """A hint to broadcast `df` if its rows, counted here, are few; else `df` as it is, to be shuffled.
+    """A hint to broadcast `df` if its values, measured here, are few bytes; else `df` as it is, to be shuffled.
 
-    `df` should be a cut, since it is counted first.
+    `df` should be a cut, since it is read first.
     """
-    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(df) if few else df
+    return F.broadcast(df) if measured(df) <= BROADCAST_BYTES else df
+
+
+def measured(df: DataFrame) -> int:
+    """Bytes of the values of `df`: 16 a row, 8 a number, the lengths of texts, and for nested values those of their JSON."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("array", "struct", "map"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            size = size + 8
+    return df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

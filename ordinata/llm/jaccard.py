@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordinata.llm.common import binary, chunk_pairs, components, cut, grouped, join_classes, search, small_side, utf8
+from ordinata.llm.common import binary, chunk_pairs, components, cut, grouped, join_classes, prepare, search, small_side, utf8
 from ordinata.llm.texts import U, mix, shingle_hashes, slices, word_hashes
 
 #: Minima kept of each set, and those of them that make bands of two: two sets at similarity 0.8
@@ -33,7 +33,7 @@ def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, s1, s2, bands, sketch): of each text's set its size, a 128-bit sum that names it, band keys and low bytes of the minima."""
+    """(id, th, n, s1, s2, bands, sketch): of each text's set its size, a 128-bit sum that names it, band keys and low bytes of the minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for batch in batches for s in slices(batch, "text")):
@@ -54,9 +54,9 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             sketch = (mix(minima) & U(255)).astype(np.uint8)
             rows = np.arange(len(n) + 1)
             bands = pa.ListArray.from_arrays(pa.array(rows * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), bands, binary(sketch.ravel(), rows * MINIMA)], ["id", "n", "s1", "s2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), bands, binary(sketch.ravel(), rows * MINIMA)], ["id", "th", "n", "s1", "s2", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, "id long, th long, n long, s1 long, s2 long, bands array<long>, sketch binary")
 
 
 def _buckets(t: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -126,34 +126,47 @@ def link(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id",
     blank texts have none and link with nothing.  Two documents link when
     100 * intersection >= percent * union.  The component is the least id that
     links reach, the document's own included.  Repeated rows and equal texts are
-    in one component; a null id is a vertex of its own and stays null.
+    in one component; different texts under one id are documents of their own, each in
+    its own component.  A document without an id links as others do but has no component's name.
+    """
+    return groups(docs, percent, k, id_col, text_col).select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+
+
+def groups(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, n_shingles, group, component) of every row: `th` is xxhash64 of the text, so that (id, th) names a row but for equal ones.
 
-    Equal sets are one from the start.  Blocks are made of sets that share a band
+    `group` numbers the components of `link`, whatever the ids; null where there is no set.
+
+    Equal sets are one class from the start, and classes are what is linked.  Blocks are made of sets that share a band
     of minima and have similar sketches and sizes; in each block (cut in pairs of
     chunks where it is large) a sparse product counts overlaps exactly.  A link at
     exactly 0.8 is missed with probability below 1e-6, closer ones far less.
     """
     if percent < 80:
         raise ValueError("blocks are built for 80 percent or more")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     sets = cut(signatures(rows, k))
-    full = sets.where("n > 0 and id is not null")
-    classes = cut(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("members")))
-    reps = full.join(classes.select("s1", "s2", F.col("rep").alias("id")), ["s1", "s2", "id"], "left_semi").dropDuplicates(["s1", "s2"])
-    buckets = reps.select("id", "n", "sketch", F.explode("bands").alias("key"))
+    full = sets.where("n > 0")
+    key = ["s1", "s2", "n"]
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "th")).alias("first")
+    classes = cut(full.groupBy(*key).agg(first, F.count("*").alias("members")).select(*key, "members", "first.id", "first.th", F.monotonically_increasing_id().alias("class")))
+    named = full.join(classes.select(*key, F.col("id").alias("i"), F.col("th").alias("t"), "class"), key).where("id <=> i and th = t").dropDuplicates(["class"])
+    buckets = named.select(F.col("class").alias("id"), "n", "sketch", F.explode("bands").alias("key"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("all")).where(F.col("all") > CROWD)
     buckets = chunk_pairs(buckets, "key", crowded, CROWD)
     blocks = components(grouped(buckets, ["key", "part"], _buckets, "a long, b long"))
-    blocks = cut(blocks.select(F.col("v").alias("id"), F.col("comp").alias("block")))
+    blocks = cut(classes.join(blocks.select(F.col("v").alias("class"), F.col("comp").alias("block")), "class").select("class", "block", "id", "th", "n"))
 
     def sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for batch in batches for s in slices(batch, "text")):
             h, at = _sets(b.column("text"), k)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("block"), pa.array(np.diff(at)), binary(h, at)], ["id", "block", "n", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("block"), pa.array(np.diff(at)), binary(h, at)], ["id", "block", "n", "hashes"])
 
-    members = rows.join(small_side(blocks), "id").mapInArrow(sets_again, "id long, block long, n long, hashes binary")
-    sizes = full.select("id", "n").join(small_side(blocks), "id")
-    big = sizes.groupBy("block").agg(F.sum("n").alias("all")).where(F.col("all") > BLOCK)
+    wanted = small_side(blocks.select("class", "block", F.col("id").alias("i"), F.col("th").alias("t")))
+    members = rows.join(wanted, (F.col("th") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("class", "block", "text").mapInArrow(sets_again, "id long, block long, n long, hashes binary")
+    members = members.dropDuplicates(["id"])
+    big = blocks.groupBy("block").agg(F.sum("n").alias("all")).where(F.col("all") > BLOCK)
     members = chunk_pairs(members, "block", big, BLOCK)
 
     def multiply(t: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -166,8 +179,9 @@ def link(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id",
                 b.append(ids[lo + found])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    linked = components(grouped(members, ["block", "part"], multiply, "a long, b long"))
-    found = classes.join(linked.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", "n", "members", F.coalesce("comp", "rep").alias("component"))
-    out = join_classes(sets.select("id", "n", "s1", "s2"), found, ["s1", "s2", "n"], "members", sets.count(), "id")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
-
+    linked = components(grouped(members, ["block", "part"], multiply, "a long, b long")).withColumnRenamed("v", "class")
+    found = classes.join(linked, "class", "left").select(*key, "members", "id", F.coalesce("comp", "class").alias("group"))
+    least = cut(found.groupBy("group").agg(F.min("id").alias("component")))
+    found = found.drop("id").join(least, "group")
+    out = join_classes(sets.select("id", "th", *key), found, key, "members", sets.count(), "th")
+    return out.select("id", "th", F.col("n").alias("n_shingles"), "group", "component")
