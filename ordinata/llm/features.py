@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,12 @@ def _log_bin(share: np.ndarray) -> np.ndarray:
     return np.where(share > 0, np.clip(np.floor(np.log2(np.maximum(share, 2.0**-11)) + 11), 1, 11), 0).astype(np.int64)
 
 
-def content(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each text and their offsets, with repeats: words in lower case, their first bytes, token shapes by share, share of different words.
+#: Features of a kind and the offsets of the rows in them.
+Part = tuple[np.ndarray, np.ndarray]
+
+
+def content(texts: pa.Array) -> list[Part]:
+    """Features of each text by kind, with repeats: words in lower case, their first bytes, token shapes by share with share of different words.
 
     Null and empty texts have no features.
     """
@@ -44,37 +48,26 @@ def content(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     docs = len(offsets) - 1
     words, at, *heads = word_hashes(data, offsets, gaps=_NOT_LETTER, prefixes=PREFIXES)
     count = np.diff(at)
-    owner = np.repeat(np.arange(docs), count)
-    feats, owners = [words], [owner]
-    for h in heads:
-        has = h != 0
-        feats.append(h[has])
-        owners.append(owner[has])
+    parts = [(words, at), *[(h[h != 0], np.append(0, np.cumsum(h != 0))[at]) for h in heads]]
     # tokens between white space, runs of one class as one sign
     shape = _SHAPE[data]
     keep = np.ones(len(shape), bool)
     keep[1:] = shape[1:] != shape[:-1]
     keep[offsets[:-1][np.diff(offsets) > 0]] = True
     tokens, tat = word_hashes(shape[keep], np.append(0, np.cumsum(keep))[offsets], fold=False)
+    feats, ends = [np.empty(0, U)], np.zeros(docs + 1, np.int64)
     for d in range(docs):
         if tat[d] < tat[d + 1]:
             kind, n = np.unique(tokens[tat[d] : tat[d + 1]], return_counts=True)
             feats.append(_tagged(0, kind, _log_bin(n / n.sum())))
-            owners.append(np.full(len(kind), d))
         if count[d]:
             share = len(np.unique(words[at[d] : at[d + 1]])) / count[d]
             feats.append(_tagged(1, np.array([int(share * 10)]), np.array([int(np.log2(count[d]) / 2)])))
-            owners.append(np.array([d]))
-    return _by_owner(feats, owners, docs)
-
-
-def _by_owner(feats: list[np.ndarray], owners: list[np.ndarray], docs: int) -> tuple[np.ndarray, np.ndarray]:
-    f, o = np.concatenate(feats).astype(U), np.concatenate(owners)
-    order = np.argsort(o, kind="stable")
-    return f[order], np.append(0, np.cumsum(np.bincount(o, minlength=docs)))
+        ends[d + 1] = ends[d] + (tat[d] < tat[d + 1] and len(kind)) + (count[d] > 0)
+    return [*parts, (np.concatenate(feats), ends)]
 
 
-def page(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def page(batch: pa.RecordBatch) -> list[Part]:
     """Features of each row's metadata: source, language, length, and how the page is laid out in lines and signs."""
     data, offsets = utf8(batch.column("text"))
     n = np.diff(offsets)
@@ -89,7 +82,7 @@ def page(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     numbers = [np.log2(size).astype(np.int64), np.log2(lines).astype(np.int64), np.log2(size / lines).astype(np.int64), *[(20 * x).astype(np.int64) for x in (capital, digit, sign, white)]]
     cols = [_tagged(10, lang), _tagged(11, source), _tagged(12, lang, source), *[_tagged(13 + i, x) for i, x in enumerate(numbers)], _tagged(30, numbers[5], numbers[6])]
     table = np.stack(cols, 1)
-    return table.ravel(), np.arange(len(n) + 1) * table.shape[1]
+    return [(table.ravel(), np.arange(len(n) + 1) * table.shape[1])]
 
 
 def hash_text(value: str | None) -> int:
@@ -136,9 +129,9 @@ def select(rows: DataFrame, view: str, most: int = 20_000, least_z: float = 4.0,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for batch in batches for s in slices(batch, "text")):
-            h, at = VIEWS[view](b)
+            parts = VIEWS[view](b)
             ys = np.asarray(b.column("y"))
-            once = [np.unique(h[at[i] : at[i + 1]]) for i in range(b.num_rows)]
+            once = [np.unique(np.concatenate([h[at[i] : at[i + 1]] for h, at in parts])) for i in range(b.num_rows)]
             for y in np.unique(ys):
                 f, k = np.unique(np.concatenate([o for o, z in zip(once, ys, strict=True) if z == y]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(np.full(len(f), y, np.int32)), pa.array(k)], ["f", "y", "k"])
@@ -155,17 +148,33 @@ def select(rows: DataFrame, view: str, most: int = 20_000, least_z: float = 4.0,
     return np.sort(np.array([r["f"] for r in best.collect()], np.int64).view(U))
 
 
-def rows_of(h: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def rows_of(parts: list[Part], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Presence of the `chosen` features by row: column numbers (each once a row), offsets, and how often any occurs."""
-    n = len(at) - 1
-    if not len(chosen) or not len(h):
-        return np.empty(0, np.int64), np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
-    table = np.zeros(1 << 20, bool)
-    table[(chosen & U((1 << 20) - 1)).astype(np.int64)] = True
-    may = np.flatnonzero(table[(h & U((1 << 20) - 1)).astype(np.int64)])
-    spot = np.minimum(np.searchsorted(chosen, h[may]), len(chosen) - 1)
-    sure = chosen[spot] == h[may]
-    owner = np.searchsorted(at, may[sure], "right") - 1
-    hits = np.bincount(owner, minlength=n)
-    pair = np.unique(owner * len(chosen) + spot[sure])
-    return pair % len(chosen), np.append(0, np.cumsum(np.bincount(pair // len(chosen), minlength=n))), hits
+    n = len(parts[0][1]) - 1
+    pairs, hits = [np.empty(0, np.int64)], np.zeros(n, np.int64)
+    if len(chosen):
+        table = np.zeros(1 << 20, bool)
+        table[(chosen & U((1 << 20) - 1)).astype(np.int64)] = True
+        for h, at in parts:
+            may = np.flatnonzero(table[(h & U((1 << 20) - 1)).astype(np.int64)])
+            spot = np.minimum(np.searchsorted(chosen, h[may]), len(chosen) - 1)
+            sure = chosen[spot] == h[may]
+            owner = np.searchsorted(at, may[sure], "right") - 1
+            hits += np.bincount(owner, minlength=n)
+            pairs.append(owner * len(chosen) + spot[sure])
+    pair = np.unique(np.concatenate(pairs))
+    width = max(len(chosen), 1)
+    return pair % width, np.append(0, np.cumsum(np.bincount(pair // width, minlength=n))), hits
+
+
+def verdicts(docs: DataFrame, columns: list[str], judge: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of `docs`, all columns, that `judge` says True of by `columns` (with text): only these go to Python, only a boolean comes back."""
+
+    @F.arrow_udf("boolean")
+    def kept(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for arrays in batches:
+            arrays = arrays if isinstance(arrays, tuple) else (arrays,)
+            b = pa.RecordBatch.from_arrays(list(arrays), columns)
+            yield pa.array(np.concatenate([judge(s) for s in slices(b, "text")] or [np.empty(0, bool)]), pa.bool_())
+
+    return docs.where(kept(*[F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in columns]))

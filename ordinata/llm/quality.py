@@ -11,18 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordinata.llm.common import cut, discard
-from ordinata.llm.features import VIEWS, labelled, rows_of, select, unlabelled
+from ordinata.llm.features import VIEWS, labelled, rows_of, select, unlabelled, verdicts
 from ordinata.llm.linear import Rows, logistic, sigmoid
 from ordinata.llm.texts import U, slices
 
 
 @dataclasses.dataclass
 class Model:
-    """For each view its features and weights (intercept last), then the calibration: intercept and a factor a view."""
+    """For each view its features and weights (intercept last), the calibration (intercept and a factor a view), and the score under which a document is rejected."""
 
     chosen: dict[str, np.ndarray]
     weights: dict[str, np.ndarray]
     joint: np.ndarray
+    threshold: float = 0.5
 
 
 def sample_rows(rows: DataFrame, chosen: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, dict[str, Rows]]:
@@ -32,7 +33,7 @@ def sample_rows(rows: DataFrame, chosen: dict[str, np.ndarray]) -> tuple[np.ndar
         for b in (s for batch in batches for s in slices(batch, "text")):
             lists = []
             for view, features in chosen.items():
-                c, at, _ = rows_of(*VIEWS[view](b), features)
+                c, at, _ = rows_of(VIEWS[view](b), features)
                 lists.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(c, pa.int32())))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), *lists], ["id", "y", *chosen])
 
@@ -44,16 +45,17 @@ def sample_rows(rows: DataFrame, chosen: dict[str, np.ndarray]) -> tuple[np.ndar
     return got["id"].to_numpy(), got["y"].to_numpy(), out
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, pool: int = 6000, rounds: int = 4, grow: int = 400, sure: float = 0.95) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, pool: int = 6000, rounds: int = 4, grow: int = 400, sure: float = 0.95, lost: float = 0.005) -> Model:
     """Learn from rows (id, text, source, lang) and labels (id, y of 0 or 1).
 
     At most about `most` labelled and `pool` unlabelled rows are drawn, by hash of
-    id, one of equal texts.  A fifth of the labelled ones is kept for calibration.  In each of
+    id, one of equal texts.  A fifth of the labelled ones is kept for calibration and for the
+    threshold, under which at most the share `lost` of that fifth's good documents fall.  In each of
     `rounds` each view labels the up to `grow` pool rows of either class of which it
     is most certain (probability `sure` or more) for the other view.  Rows without a
     label in 0 or 1, or with null text, teach nothing; an id with several labels
     counts as its least.  Fewer than two classes: every document scores 1 / 2 or
-    the share of the only class.
+    the share of the only class, and none is rejected.
     """
     marks = labels.where("y in (0, 1)").groupBy("id").agg(F.min("y").cast("int").alias("y"))
     base = docs.select("id", "text", "source", "lang")
@@ -66,7 +68,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, pool: int = 6000,
     discard(free)
     if len(np.unique(y)) < 2:
         share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-        return Model({v: np.empty(0, U) for v in VIEWS}, {v: np.zeros(1) for v in VIEWS}, np.array([np.log(share / (1 - share)), 0.0, 0.0]))
+        return Model({v: np.empty(0, U) for v in VIEWS}, {v: np.zeros(1) for v in VIEWS}, np.array([np.log(share / (1 - share)), 0.0, 0.0]), 0.0)
     check = np.random.Generator(np.random.PCG64(5)).permutation(len(y)) % 5 == 0
     train, held = np.flatnonzero(~check), np.flatnonzero(check)
     pseudo = {v: (np.empty(0, np.int64), np.empty(0)) for v in VIEWS}
@@ -90,7 +92,23 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, pool: int = 6000,
     # the views' logits on rows that neither has seen, each a feature of one last regression
     z = np.stack([x[v].take(held).dot(weights[v][:-1]) + weights[v][-1] for v in VIEWS], 1)
     joint = calibrate(z, y[held]) if len(np.unique(y[held])) == 2 else np.array([0.0, 0.5, 0.5])
-    return Model(chosen, weights, joint)
+    return Model(chosen, weights, joint, threshold(z, y[held], lost))
+
+
+def threshold(z: np.ndarray, y: np.ndarray, lost: float) -> float:
+    """The highest score, 1 / 2 at most, under which no more than the share `lost` of the good rows fall.
+
+    Each half of the rows is scored by a calibration that the other half taught.
+    Where a half has one class only, 1 / 2.
+    """
+    half, scores = np.arange(len(y)) % 2, np.zeros(len(y))
+    for h in (0, 1):
+        if len(np.unique(y[half != h])) < 2:
+            return 0.5
+        w = calibrate(z[half != h], y[half != h])
+        scores[half == h] = sigmoid(w[0] + z[half == h] @ w[1:])
+    good = np.sort(scores[y == 1])
+    return min(0.5, float(good[int(lost * len(good))])) if len(good) else 0.5
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -109,7 +127,7 @@ def judged(m: Model, b: pa.RecordBatch) -> dict[str, np.ndarray]:
     """Each view's probability and the joint one of rows with text, source and lang."""
     z = {}
     for v in VIEWS:
-        c, at, _ = rows_of(*VIEWS[v](b), m.chosen[v])
+        c, at, _ = rows_of(VIEWS[v](b), m.chosen[v])
         z[v] = Rows(c, at, len(m.chosen[v])).dot(m.weights[v][:-1]) + m.weights[v][-1]
     joint = sigmoid(m.joint[0] + sum(f * z[v] for f, v in zip(m.joint[1:], VIEWS, strict=True)))
     return {v: sigmoid(x) for v, x in z.items()} | {"score": joint}
@@ -130,15 +148,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("id", "text", "source", "lang").mapInArrow(run, "id long, content double, page double, score double")
 
 
-def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` (with text, source and lang), all columns, whose joint score reaches `threshold`: no row is dealt."""
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs` (with text, source and lang), all columns, whose joint score reaches the model's threshold: no row is dealt."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for batch in batches for s in slices(batch, "text")):
-            yield b.filter(pa.array(judged(shared.value, b)["score"] >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return verdicts(docs, ["text", "source", "lang"], lambda b: judged(shared.value, b)["score"] >= shared.value.threshold)
 
 
 def rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,9 +165,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(rows(docs), labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("y")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """(id, content, page, score, keep) of every document; `labels` has doc_id and quality.
-
-    The threshold leans to keeping: a text of a few words shows little either way.
-    """
-    return score(rows(docs), learned(docs, labels)).withColumn("keep", F.col("score") >= threshold)
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, content, page, score, keep) of every document; `labels` has doc_id and quality."""
+    model = learned(docs, labels)
+    return score(rows(docs), model).withColumn("keep", F.col("score") >= model.threshold)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes hashed at a time: bounds the memory of the 64-bit columns beside them.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -103,7 +103,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[
     return out, to
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """`batch` in runs of rows whose `column` holds about `most` bytes; a longer text is alone."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
     end, at = np.cumsum(sizes), 0
