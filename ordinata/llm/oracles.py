@@ -23,6 +23,13 @@ WITH RECURSIVE w AS (
 SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(coalesce(r, s.doc_id), s.doc_id) AS component_id FROM s LEFT JOIN comp ON v = s.doc_id
 """
 
+EDITED = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (
+  SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nxt FROM d
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(left(t, n - n // 3) || left(nxt, n // 3)) AS edited_sha256 FROM n
+"""
+
 NEAR = f"""
 WITH RECURSIVE e AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings

@@ -93,6 +93,12 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def next_and_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10 that SQL can express: the next document and the edited text."""
+    d = fingerprint.edits(table(spark, sf_dir, "documents"))
+    return d.select(F.col("id").alias("doc_id"), "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -105,9 +111,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": op8_url_filters,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_document_fingerprints": op10_document_fingerprints,
+        "next_and_edited": next_and_edited,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others are learned, or rest on files and hashes that SQL has not."""
-    return {"op4_ngram_jaccard_join": oracles.JACCARD, "op8_url_filters": oracles.urls(URL_RULES), "op9_embedding_near_dedup": oracles.NEAR}
+    return {"op4_ngram_jaccard_join": oracles.JACCARD, "op8_url_filters": oracles.urls(URL_RULES), "op9_embedding_near_dedup": oracles.NEAR, "next_and_edited": oracles.EDITED}

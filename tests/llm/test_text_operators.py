@@ -208,14 +208,25 @@ def test_winnowing_against_brute_force(spark, docs, no_docs):
     assert fingerprint.fingerprints(docs).count() == len(document_rows())
 
 
-def test_the_next_row_over_many_buckets(spark):
-    ids = [1, 2, 5, 511, 512, 513, 5000, 5_000_000, 900_000_000_000, -4]
-    d = spark.createDataFrame([(i, f"text{i}") for i in ids], "doc_id long, text string")
-    got = {r["id"]: r["edited"][-2:] for r in fingerprint.fingerprints(d).collect()}
-    order = sorted(ids, reverse=True)
-    for a, i in enumerate(order):
-        t, nxt = f"text{i}", f"text{order[(a + 1) % len(order)]}"
-        assert got[i] == (t[: len(t) - len(t) // 3] + nxt[: len(t) // 3])[-2:]
+@pytest.mark.parametrize("kind", ["sparse", "one", "copies", "nulls"])
+def test_the_next_row_over_many_stretches(spark, kind):
+    rng = random.Random(2)
+    ids = {"sparse": [rng.randrange(-(2**63), 2**63) for _ in range(3000)], "one": [7] * 3000, "copies": [7] * 3000, "nulls": [None if i % 3 else i for i in range(3000)]}[kind]
+    rows = [(i, "the same text" if kind == "copies" and j % 50 else f"text {j} {'x' * (j % 9)}") for j, i in enumerate(ids)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["id"], r["edited"]) for r in fingerprint.edits(d).collect())
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), spark_hash(r[1])))
+    want = collections.Counter()
+    for a, (i, t) in enumerate(order):
+        want[i, t[: len(t) - len(t) // 3] + order[(a + 1) % len(order)][1][: len(t) // 3]] += 1
+    assert got == want
+    plan = fingerprint.edits(d)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Python" not in plan
+    keyed = d.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__k"), F.xxhash64("text").alias("__t"), F.monotonically_increasing_id().alias("__m"))
+    most = max(r["count"] for r in keyed.groupBy(fingerprint._stretches(keyed, ["__k", "__t", "__m"])).count().collect())
+    assert most < 400  # of 3000 rows in 32 stretches
+
+
+def test_one_row_follows_itself(spark):
     one = fingerprint.fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert one["edited"] == "abcdab" and one["near_next"] == 1.0
-    assert collections.Counter(got.values())
