@@ -11,32 +11,49 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ordinata.llm.common import prepare
 from ordinata.llm.texts import mix, slices
 
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 
 
-def _grams(texts: list[str], orders: tuple[int, ...], buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(text number, buckets hit, counts) of each text: its code points in lower case, runs of others than letters as one space."""
-    for i, t in enumerate(texts):
-        if not _LETTER.search(t):
-            continue
-        cp = np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        # ASCII signs, digits and controls and general punctuation count as one space
-        plain = ((cp < 0x80) & ~((cp >= 0x61) & (cp <= 0x7A))) | ((cp >= 0x2000) & (cp < 0x2070)) | ((cp >= 0x80) & (cp < 0xC0))
-        cp = np.where(plain, np.uint32(0x20), cp)
-        cp = np.concatenate(([np.uint32(0x20)], cp[~((cp == 0x20) & np.append(False, cp[:-1] == 0x20))], [np.uint32(0x20)])).astype(np.uint64)
-        dense = np.zeros(buckets, np.int64)
-        for n in orders:
-            if len(cp) < n:
-                continue
-            h = cp[: len(cp) - n + 1].copy()
-            for j in range(1, n):
-                h = h * np.uint64(0x100000001B3) + cp[j : len(cp) - n + 1 + j]
-            dense += np.bincount((mix(h + np.uint64(n << 56)) >> np.uint64(32)).astype(np.int64) & (buckets - 1), minlength=buckets)
-        hit = np.flatnonzero(dense)
-        yield i, hit, dense[hit]
+def _grams(texts: list[str], orders: tuple[int, ...], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the buckets of the n-grams of all texts, one text after the other, and the n + 1 offsets of the texts in them.
+
+    Code points count in lower case; ASCII signs, digits and controls and general
+    punctuation are one space a run, and a space stands at either end.
+    A text without letters has no n-grams, nor does one shorter than n.
+    """
+    lower = [f" {t.lower()} " if _LETTER.search(t) else "" for t in texts]
+    owner = np.repeat(np.arange(len(lower)), [len(t) for t in lower])
+    cp = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+    plain = ((cp < 0x80) & ~((cp >= 0x61) & (cp <= 0x7A))) | ((cp >= 0x2000) & (cp < 0x2070)) | ((cp >= 0x80) & (cp < 0xC0))
+    again = np.zeros(len(cp), bool)
+    again[1:] = plain[1:] & plain[:-1] & (owner[1:] == owner[:-1])
+    cp, owner = np.where(plain, np.uint32(0x20), cp)[~again].astype(np.uint64), owner[~again]
+    h = cp.copy()
+    for n in range(1, max(orders, default=0) + 1):
+        if n > 1:  # h: of the n code points from each place on
+            h = h[:-1] * np.uint64(0x100000001B3) + cp[n - 1 :]
+        if n in orders:
+            whole = owner[n - 1 :] == owner[: len(owner) - n + 1]
+            bucket = (mix(h + np.uint64(n << 56)) >> np.uint64(32)).astype(np.int64) & (buckets - 1)
+            own = owner[: len(owner) - n + 1][whole]
+            yield bucket[whole], np.append(0, np.cumsum(np.bincount(own, minlength=len(texts))))
+
+
+def log_odds(texts: list[str], m: Model) -> np.ndarray:
+    """The log probability of each text and language: the sparse batch of n-gram counts by texts, multiplied with the model's matrix.
+
+    A language's column is gathered at the batch's buckets and summed text by text, so that no dense row of counts is made.
+    """
+    z = np.tile(m.log_prior, (len(texts), 1))
+    for bucket, at in _grams(texts, m.orders, m.log_prob.shape[0]):
+        some = np.flatnonzero(np.diff(at))
+        for j in range(z.shape[1] if len(some) else 0):
+            z[some, j] += np.add.reduceat(m.log_prob[:, j][bucket], at[some])
+    return z
 
 
 @dataclasses.dataclass
@@ -56,7 +73,7 @@ def fit(labelled: DataFrame, orders: tuple[int, ...] = (1, 2, 3), buckets: int =
     Counts are summed on the tasks, then by language and bucket, so the driver gets
     languages x buckets numbers however many rows there are.  No rows, no
     languages.  The number of languages must stay under 1000: the matrix is
-    broadcast (128 kB a language).
+    broadcast (256 kB a language).
     """
     rows = labelled.where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(1000).collect()}
@@ -71,8 +88,9 @@ def fit(labelled: DataFrame, orders: tuple[int, ...] = (1, 2, 3), buckets: int =
         sums: dict[str, np.ndarray] = {}
         for b in (s for batch in batches for s in slices(batch, "text")):
             langs = b.column("lang").to_pylist()
-            for i, hit, n in _grams(b.column("text").to_pylist(), orders, buckets):
-                sums.setdefault(langs[i], np.zeros(buckets, np.int64))[hit] += n
+            for bucket, at in _grams(b.column("text").to_pylist(), orders, buckets):
+                for i in np.flatnonzero(np.diff(at)):
+                    np.add.at(sums.setdefault(langs[i], np.zeros(buckets, np.int64)), bucket[at[i] : at[i + 1]], 1)
         for lang, c in sums.items():
             hit = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit)), pa.array(hit.astype(np.int32)), pa.array(c[hit])], ["lang", "bucket", "n"])
@@ -85,7 +103,7 @@ def fit(labelled: DataFrame, orders: tuple[int, ...] = (1, 2, 3), buckets: int =
         own = got[got["lang"] == lang]
         table[own["bucket"].to_numpy(), j] += own["n"].to_numpy()
     prior = np.array([counts[x] for x in langs], float)
-    return Model(langs, np.log(table / table.sum(0)).astype(np.float32), np.log(prior / prior.sum()) if langs else prior, orders)
+    return Model(langs, np.asfortranarray(np.log(table / table.sum(0))), np.log(prior / prior.sum()) if langs else prior, orders)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
@@ -95,6 +113,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     was learned.  The score is the posterior probability of the language; of equal
     posteriors the first name in order wins.  Repeated rows are scored alike.
     """
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
     schema = ", ".join(f"{n} {t}" for n, t in rows.drop("text").dtypes) + ", lang_pred string, score double"
@@ -105,10 +124,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             langs, scores = [UND] * b.num_rows, np.zeros(b.num_rows)
             if m.langs:
                 texts = [t or "" for t in b.column("text").to_pylist()]
-                for i, hit, n in _grams(texts, m.orders, m.log_prob.shape[0]):
-                    z = n @ m.log_prob[hit] + m.log_prior
-                    best = int(np.argmax(z))
-                    langs[i], scores[i] = m.langs[best], 1 / np.exp(z - z[best]).sum()
+                z = log_odds(texts, m)
+                best = z.argmax(1)
+                chance = 1 / np.exp(z - z.max(1, keepdims=True)).sum(1)
+                for i, t in enumerate(texts):
+                    if _LETTER.search(t):
+                        langs[i], scores[i] = m.langs[best[i]], chance[i]
             kept = [b.column(i) for i, n in enumerate(b.schema.names) if n != "text"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores)], [*[n for n in b.schema.names if n != "text"], "lang_pred", "score"])
 

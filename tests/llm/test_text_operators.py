@@ -1,6 +1,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -131,6 +132,42 @@ def test_language_held_out_accuracy(spark):
     assert len(rows) > 100 and np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.97
 
 
+def brute_grams(text, orders):
+    """The n-grams of one text, as code points."""
+    t = "".join(" " if (ord(c) < 0x80 and not "a" <= c <= "z") or 0x2000 <= ord(c) < 0x2070 or 0x80 <= ord(c) < 0xC0 else c for c in text.lower())
+    t = " " + re.sub(" +", " ", t).strip(" ") + " "
+    return [t[i : i + n] for n in orders for i in range(len(t) - n + 1)]
+
+
+def test_naive_bayes_against_plain_python(spark):
+    rng = random.Random(6)
+    words = {"aa": ["lalo", "mila", "Ora!"], "bb": ["krk", "grut", "zz-top"], "cc": ["ñandú", "éa", "mila"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 12))), lang) for i, lang in enumerate(["aa", "bb", "cc", "aa"] * 20)]
+    orders, buckets, smoothing = (1, 2, 3), 1 << 15, 0.1
+    bucket = {}
+
+    def of(gram):
+        if gram not in bucket:
+            h = ord(gram[0])
+            for c in gram[1:]:
+                h = (h * 0x100000001B3 + ord(c)) % 2**64
+            h = (h + (len(gram) << 56)) % 2**64
+            h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+            h = (h ^ (h >> 27)) * 0x94D049BB133111EB % 2**64
+            bucket[gram] = ((h ^ (h >> 31)) >> 32) % buckets
+        return bucket[gram]
+
+    counts = {lang: collections.Counter(of(g) for _, t, x in rows if x == lang for g in brute_grams(t, orders)) for lang in words}
+    total = {lang: sum(c.values()) + smoothing * buckets for lang, c in counts.items()}
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    got = {r["id"]: r for r in langid.predict(df, langid.fit(df), id_col="id").collect()}
+    for i, t, _ in rows:
+        z = {lang: math.log(sum(r[2] == lang for r in rows) / len(rows)) + sum(math.log((counts[lang][of(g)] + smoothing) / total[lang]) for g in brute_grams(t, orders)) for lang in words}
+        best = max(sorted(z), key=z.get)
+        assert got[i]["lang_pred"] == best
+        assert abs(got[i]["score"] - 1 / sum(math.exp(v - z[best]) for v in z.values())) < 1e-9
+
+
 def test_language_messy(spark, docs, no_docs):
     model = langid.fit(docs.withColumn("id", F.col("doc_id")).select("id", "text", "lang"))
     assert model.langs == ["de", "en", "es"]
