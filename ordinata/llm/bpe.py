@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinata.llm.common import binary, grouped, utf8
+from ordinata.llm.common import binary, grouped, prepare, utf8
 from ordinata.llm.texts import slices
 
 
@@ -27,6 +27,9 @@ def _file(spark, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+#: Distinct words whose ids a task remembers at most.
+WORDS = 1_000_000
+
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -105,7 +108,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes: int) -
         yield flush()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, then: Batches | None = None, schema: str = "id long, ids binary") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, then: Batches | None = None, schema: str = "id long, ids binary") -> DataFrame:
     """(id, ids): the token ids of every text, as little-endian unsigned 32-bit integers.
 
     `then` maps the batches of the result to ones of `schema` where they are made, in the same Python process.
@@ -116,12 +119,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     Words are dealt out by hash, at most once from each block, so a word that is in
     every text costs an entry a block.  Each distinct word is encoded once, by
-    ranks, and its ids go back to the blocks that hold it, where the texts are put
+    ranks (a task that has met WORDS words of one deal forgets them, to bound its memory), and its ids go back to the blocks that hold it, where the texts are put
     together by position.  Words and positions come from two passes over `docs`,
     which should be files or a cut: its rows and their order must be the same in
     both.  A block that does not get the ids of all its words raises.
     """
     spark = docs.sparkSession
+    prepare(spark)
     vocabulary = _file(spark, path)
     deals = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -137,14 +141,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 rows.append(_pack(np.array([len(own)], "<u4"), group.astype("<u4"), np.array([len(w) for w in own], "<u4"), np.frombuffer(b"".join(own), np.uint8)))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array(rows, pa.binary())], ["deal", "block", "packed"])
 
-    def encode_words(t: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = _coder(vocabulary.value, pattern)._encode_single_piece
-        deal = None
-        once: dict[bytes, list[int]] = {}
-        for row in zip(t.column("deal").to_pylist(), t.column("block").to_pylist(), t.column("packed"), strict=True):
-            if row[0] != deal:
+        deal, once = None, {}  # rows of a deal follow each other; none is held
+        for row in (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("deal", "block", "packed")), strict=True)):
+            if row[0] != deal or len(once) > WORDS:
                 deal, once = row[0], {}
-            data = zstandard.ZstdDecompressor().decompress(row[2].as_py())
+            data = zstandard.ZstdDecompressor().decompress(row[2])
             n = int(np.frombuffer(data, "<u4", 1)[0])
             places, ends = np.frombuffer(data, "<u4", n, 4), np.append(0, np.cumsum(np.frombuffer(data, "<u4", n, 4 + 4 * n), dtype=np.int64)) + 4 + 8 * n
             ids = []
@@ -202,7 +205,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = "block long, kind int, ids array<long>, lengths array<int>, packed binary"
-    dealt = grouped(rows.mapInArrow(words_out, "deal int, block long, packed binary"), ["deal"], encode_words, kind)
+    dealt = rows.mapInArrow(words_out, "deal int, block long, packed binary").repartition("deal").sortWithinPartitions("deal").mapInArrow(encode_words, kind)
     return grouped(rows.mapInArrow(positions_out, kind).union(dealt), ["block"], assembled, schema, order=["kind"])
 
 
