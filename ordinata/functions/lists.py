@@ -249,5 +249,20 @@ def nest_join(on: Callable[[Column, Column], Column], xs: Column, ys: Column) ->
     return F.transform(xs, lambda x: F.struct(x.alias("_1"), F.filter(ys, lambda y: on(x, y)).alias("_2")))
 
 
+def product(xs: Column, ys: Column) -> Column:
+    """All pairs of two inner lists, left-major."""
+    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("_1"), y.alias("_2")))))
+
+
+def group_join(on: Callable[[Column, Column], Column], f: Fn, xs: Column, ys: Column) -> Column:
+    """Each x with the fold f of the list of its partners."""
+    return F.transform(nest_join(on, xs, ys), lambda p: F.struct(p["_1"].alias("_1"), f(p["_2"]).alias("_2")))
+
+
+def group_aggr(key: Fn, f: Fn, xs: Column) -> Column:
+    """(key, fold f of its members) by rising key."""
+    return F.transform(group_with_key(key, xs), lambda g: F.struct(g["key"].alias("key"), f(g["members"]).alias("value")))
+
+
 def _int(n: Column | int) -> Column:
     return (F.lit(n) if isinstance(n, int) else n).cast("int")

@@ -96,3 +96,8 @@ def renamed(xs: Rel, prefix: str) -> Rel:
 def unzip(xs: Rel) -> tuple[Rel, ...]:
     """A list for each field."""
     return tuple(xs.with_fields({f: F.col(f"`{f}`")}) for f in xs.fields)
+
+
+def lookup(key: Column, pairs: Rel, of: Callable[[Row], Column], item: Callable[[Row], Column], name: str = "value") -> Rel:
+    """The values that a list of pairs has under one key, in order."""
+    return map_(filter_(pairs, lambda r: of(r) == key), lambda r: {name: item(r)})

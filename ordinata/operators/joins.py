@@ -174,3 +174,62 @@ def lifted_join(xss: Rel, field: str, ys: Rel, keys_of: Callable[[Column], Colum
     for i in range(n):
         same = F.col(f"{ORDER}{i}") == F.col(f"__x{i}") if same is None else same & (F.col(f"{ORDER}{i}") == F.col(f"__x{i}"))
     return _with(xss, xss.df.join(lists, same, "left"), {name: F.coalesce("__list", F.array().cast(kind))})
+
+
+def _members(xss: Rel, field: str) -> Rel:
+    """The inner lists' members as one list, field `member`, in the outer order and then their own."""
+    from ordinata.operators.basic import concat_map
+
+    return concat_map(xss, lambda r: r[field], (), "member")
+
+
+def _renested(xss: Rel, flat: Rel, value: Column, name: str) -> Rel:
+    """`xss` with list `name` of what `flat`, ordered by the outer order first, has for each outer element; empty for none."""
+    n = len(xss.dirs)
+    rest = F.struct(*[F.col(f"{ORDER}{i}") for i in range(n, len(flat.dirs))])
+    gathered = F.transform(F.sort_array(F.collect_list(F.struct(rest.alias("o"), value.alias("v")))), lambda s: s["v"])
+    lists = flat.df.groupBy(*[F.col(f"{ORDER}{i}").alias(f"__x{i}") for i in range(n)]).agg(gathered.alias("__list"))
+    kind = lists.schema["__list"].dataType.simpleString()
+    same = None
+    for i in range(n):
+        same = F.col(f"{ORDER}{i}") == F.col(f"__x{i}") if same is None else same & (F.col(f"{ORDER}{i}") == F.col(f"__x{i}"))
+    return _with(xss, xss.df.join(lists, same, "left"), {name: F.coalesce("__list", F.array().cast(kind))})
+
+
+#: A condition on a member of an inner list and an element of a table.
+MemberOn = Callable[[Column, Row], Column]
+
+
+def lifted_semi_join(xss: Rel, field: str, ys: Rel, on: MemberOn, name: str, where: Callable[[Row], Column] | None = None) -> Rel:
+    """For each element the members of its inner list that some y matches, in order."""
+    return _renested(xss, semi_join(_members(xss, field), ys, lambda x, y: on(x.member, y), where), F.col("member"), name)
+
+
+def lifted_anti_join(xss: Rel, field: str, ys: Rel, on: MemberOn, name: str, where: Callable[[Row], Column] | None = None) -> Rel:
+    """For each element the members of its inner list that no y matches, in order."""
+    return _renested(xss, anti_join(_members(xss, field), ys, lambda x, y: on(x.member, y), where), F.col("member"), name)
+
+
+def lifted_theta_join(xss: Rel, field: str, ys: Rel, on: MemberOn, name: str, item: Callable[[Row], Column] | None = None) -> Rel:
+    """For each element the pairs (member, partner) of its inner list and ys that meet `on`, left-major."""
+    b = ys.rising()
+    value = item(b.row) if item else (b.row.only() if len(b.fields) == 1 else b.row.struct())
+    pairs = theta_join(_members(xss, field), b, lambda x, y: on(x.member, y))
+    return _renested(xss, pairs, F.struct(F.col("member").alias("_1"), value.alias("_2")), name)
+
+
+def lifted_nest_join(xss: Rel, field: str, ys: Rel, keys: Sequence[tuple[Callable[[Column], Column], Callable[[Row], Column]]], name: str, item: Callable[[Row], Column] | None = None) -> Rel:
+    """For each element the pairs (member, list of partners) of its inner list: members without partners have the empty list."""
+    joined = nest_join(_members(xss, field), ys, [((lambda x, f=f: f(x.member)), g) for f, g in keys], name="partners", item=item)
+    return _renested(xss, joined, F.struct(F.col("member").alias("_1"), F.col("partners").alias("_2")), name)
+
+
+def lifted_group_join(xss: Rel, field: str, ys: Rel, agg: Agg, keys: Sequence[tuple[Callable[[Column], Column], Callable[[Row], Column]]], name: str) -> Rel:
+    """For each element the pairs (member, fold of its partners) of its inner list; the fold of the empty list for none."""
+    joined = group_join(_members(xss, field), ys, {"folded": agg}, [((lambda x, f=f: f(x.member)), g) for f, g in keys])
+    return _renested(xss, joined, F.struct(F.col("member").alias("_1"), F.col("folded").alias("_2")), name)
+
+
+def lookup(xs: Rel, key: Callable[[Row], Column], pairs: Rel, of: Callable[[Row], Column], item: Callable[[Row], Column], name: str = "found") -> Rel:
+    """Each x with all values that the list `pairs` has under its key, in order; the empty list for none."""
+    return nest_join(xs, pairs, [(key, of)], name=name, item=item)

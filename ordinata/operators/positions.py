@@ -33,12 +33,14 @@ def number(xs: Rel, name: str = "pos", within: Sequence[str] = ()) -> Rel:
     is numbered by itself, from where the partitions before it end; no task sees the
     whole list.  The dealt rows are kept on the executors' disks, since numbers and
     sizes must come from one partitioning; a lost one is made again with the same bounds.
+    `release` gives the disks back when no list that was numbered is read any more.
     """
     if within:
         pos = F.row_number().over(Window.partitionBy(*within).orderBy(*xs.order())).cast("bigint")
         return Rel(xs.df.withColumn(name, pos), [*xs.fields, name], xs.dirs)
     # the id's high bits are the partition's number, its low 33 bits the row's place
     d = xs.df.repartitionByRange(*xs.order()).sortWithinPartitions(*xs.order()).withColumn("__id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    _dealt.append(d)
     part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit(2**33 - 1))
     sizes = d.groupBy(part.alias("__part")).agg((F.max(place) + 1).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,6 +49,16 @@ def number(xs: Rel, name: str = "pos", within: Sequence[str] = ()) -> Rel:
     return Rel(d.select(*[F.col(f"`{f}`") for f in xs.fields], name, *xs.order_columns), [*xs.fields, name], xs.dirs)
 
 
+#: What `number` keeps on disks, until `release`.
+_dealt: list[DataFrame] = []
+
+
+def release() -> None:
+    """Drop the rows that `number` (and what rests on it: drop, zip, windows over whole lists) keeps on the executors' disks."""
+    while _dealt:
+        _dealt.pop().unpersist()
+
+
 def take(xs: Rel, n: int | Column, within: Sequence[str] = ()) -> Rel:
     """The first n, none for a negative n.  A literal n on the whole list keeps only n rows a task."""
     if isinstance(n, int) and not within:
@@ -83,7 +95,9 @@ def last(xs: Rel) -> Rel:
 def index(xs: Rel, i: int) -> Rel:
     """The element at i, counted from 0: a list of one, or of none."""
     first = take(xs, i + 1) if i >= 0 else take(xs, 0)
-    return Rel(_where(first, lambda pos: pos == i + 1, ()).df, xs.fields, xs.dirs)
+    enough = first.df.agg((F.count("*") == i + 1).alias("__enough"))  # one row
+    last = take(reverse(first), 1).df.crossJoin(F.broadcast(enough)).where("__enough").drop("__enough")
+    return Rel(last, xs.fields, xs.dirs)
 
 
 def only(xs: Rel) -> DataFrame:

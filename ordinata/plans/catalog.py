@@ -143,6 +143,12 @@ def _(t):
     return d.with_fields({"s_suppkey": F.col("s_suppkey"), "a": F.col("t.s_name"), "b": F.col("t.s_nationkey")})
 
 
+@query("p5_tuples_wide", "SELECT l_orderkey AS a, l_partkey AS b, l_suppkey AS c, l_linenumber AS d, l_returnflag AS e, l_linestatus AS f FROM lineitem")
+def _(t):
+    d = B.map_(t("lineitem"), lambda r: {"t": F.struct(*[r[c].alias(f"_{i}") for i, c in enumerate(("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"), 1)])})
+    return d.with_fields({n: F.col(f"t._{i}") for i, n in enumerate("abcdef", 1)})
+
+
 @query("p6_tuple_elements", "SELECT c_custkey AS a, c_mktsegment AS b FROM customer")
 def _(t):
     pairs = B.map_(t("customer"), lambda r: F.struct(r.c_custkey.alias("_1"), r.c_mktsegment.alias("_2")))
@@ -195,11 +201,11 @@ def _(t):
     return B.map_(B.leading_guard(F.lit(2) > F.lit(1), t("nation")), lambda r: {"n_nationkey": r.n_nationkey})
 
 
-@query("f3_leading_guard_per_row", "SELECT x, y FROM (VALUES (CAST(10 AS BIGINT)), (20), (30)) AS a(x), (VALUES (CAST(1 AS BIGINT)), (2), (3), (4)) AS b(y) WHERE x > 13 AND y < 3")
+@query("f3_leading_guard_per_row", "SELECT n_nationkey, r_name FROM nation, region WHERE n_regionkey > 1 AND r_regionkey < 3")
 def _(t):
-    xs, ys = lit_list(t.spark, [10, 20, 30], "x"), lit_list(t.spark, [1, 2, 3, 4], "y")
-    d = B.map_(joins.nest_product(xs, B.filter_(ys, lambda r: r.y < 3), "ys"), lambda r: {"x": r.x, "ys": S.cond(r.x > 13, r.ys, A.nil("bigint"))})
-    return B.concat_map(d, lambda r: r.ys, ("x",), "y")
+    d = joins.nest_product(t("nation", "n_nationkey", "n_regionkey"), B.filter_(t("region", "r_regionkey", "r_name"), lambda r: r.r_regionkey < 3), "rs", lambda r: r.r_name)
+    guarded = B.map_(d, lambda r: {"n_nationkey": r.n_nationkey, "rs": S.cond(r.n_regionkey > 1, r.rs, A.nil("string"))})
+    return B.concat_map(guarded, lambda r: r.rs, ("n_nationkey",), "r_name")
 
 
 @query("f4_eq_neq", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'")
@@ -290,19 +296,21 @@ def _(t):
     return B.map_(d, lambda r: {"s_suppkey": r.s_suppkey})
 
 
-@query("j5b_for_all_class12", "SELECT x FROM (VALUES (CAST(6 AS BIGINT)), (7), (8), (9), (10), (12)) AS a(x) WHERE NOT EXISTS (SELECT 1 FROM (VALUES (8), (9), (12), (13), (15), (16)) AS b(y) WHERE y > 10 AND NOT (x < y))")
+@query("j5b_for_all_class12", "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey > 2 AND NOT (s_nationkey < n_nationkey + 12))")
 def _(t):
-    return joins.for_all(lit_list(t.spark, [6, 7, 8, 9, 10, 12], "x"), lit_list(t.spark, [8, 9, 12, 13, 15, 16], "y"), lambda x, y: x.x < y.y, among=lambda y: y.y > 10)
+    return joins.for_all(t("supplier", "s_suppkey", "s_nationkey"), t("nation"), lambda x, y: x.s_nationkey < y.n_nationkey + 12, among=lambda y: y.n_regionkey > 2).with_fields({"s_suppkey": F.col("s_suppkey")})
 
 
-@query("j5c_for_all_class15", "SELECT x FROM (VALUES (CAST(3 AS BIGINT)), (4), (5), (6), (7), (8)) AS a(x) WHERE NOT EXISTS (SELECT 1 FROM (VALUES (4), (5), (8), (16)) AS b(y) WHERE x < y AND NOT (y % 4 = 0))")
+@query("j5c_for_all_class15", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM region WHERE c_nationkey < r_regionkey * 5 AND NOT (r_regionkey % 4 = 0))")
 def _(t):
-    return joins.for_all_among(lit_list(t.spark, [3, 4, 5, 6, 7, 8], "x"), lit_list(t.spark, [4, 5, 8, 16], "y"), lambda x, y: x.x < y.y, lambda y: S.rem(y.y, F.lit(4)) == 0)
+    d = joins.for_all_among(t("customer", "c_custkey", "c_nationkey"), t("region"), lambda x, y: x.c_nationkey < y.r_regionkey * 5, lambda y: S.rem(y.r_regionkey, F.lit(4)) == 0)
+    return d.with_fields({"c_custkey": F.col("c_custkey")})
 
 
-@query("j5d_for_all_class16", "SELECT x FROM (VALUES (CAST(3 AS BIGINT)), (4), (5), (6)) AS a(x) WHERE NOT EXISTS (SELECT 1 FROM (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) AS b(y) WHERE x < y AND NOT (y <= 2 * x))")
+@query("j5d_for_all_class16", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM nation WHERE c_nationkey < n_nationkey AND NOT (n_nationkey <= 2 * c_nationkey))")
 def _(t):
-    return joins.for_all(lit_list(t.spark, [3, 4, 5, 6], "x"), lit_list(t.spark, list(range(1, 9)), "y"), lambda x, y: y.y <= 2 * x.x, given=lambda x, y: x.x < y.y)
+    d = joins.for_all(t("customer", "c_custkey", "c_nationkey"), t("nation"), lambda x, y: y.n_nationkey <= 2 * x.c_nationkey, given=lambda x, y: x.c_nationkey < y.n_nationkey)
+    return d.with_fields({"c_custkey": F.col("c_custkey")})
 
 
 @query("j5_for_all_orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND NOT (o_totalprice > c_acctbal * 20))")
@@ -383,6 +391,52 @@ def _(t):
     return _exploded(d, "key", "pairs", lambda m: m["_2"])
 
 
+def _regions(t: Tables) -> Rel:
+    """Each region with the list of its nations' keys."""
+    return grouping.group_with_key(t("nation"), lambda r: r.n_regionkey).members(item=lambda r: r.n_nationkey)
+
+
+@query("j12_lifted_semi_join", "SELECT n_regionkey AS key, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS BIGINT) AS pos, n_nationkey AS v FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000)")
+def _(t):
+    d = joins.lifted_semi_join(_regions(t), "members", t("supplier"), lambda m, y: m == y.s_nationkey, "kept", lambda y: y.s_acctbal > 5000)
+    return _exploded(d, "key", "kept")
+
+
+@query("j12_lifted_anti_join", "SELECT n_regionkey AS key, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS BIGINT) AS pos, n_nationkey AS v FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000)")
+def _(t):
+    d = joins.lifted_anti_join(_regions(t), "members", t("supplier"), lambda m, y: m == y.s_nationkey, "kept", lambda y: y.s_acctbal > 5000)
+    return _exploded(d, "key", "kept")
+
+
+@query("j12_lifted_theta_join", "SELECT n_regionkey AS key, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, r_regionkey) AS BIGINT) AS pos, n_nationkey * 10 + r_regionkey AS v FROM nation JOIN region ON n_nationkey < r_regionkey * 4")
+def _(t):
+    d = joins.lifted_theta_join(_regions(t), "members", t("region"), lambda m, y: m < y.r_regionkey * 4, "pairs", lambda y: y.r_regionkey)
+    return _exploded(d, "key", "pairs", lambda p: p["_1"] * 10 + p["_2"])
+
+
+@query("j12_lifted_nest_join", "SELECT n_regionkey AS key, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS BIGINT) AS pos, CAST((SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) * 100 + n_nationkey AS BIGINT) AS v FROM nation")
+def _(t):
+    d = joins.lifted_nest_join(_regions(t), "members", t("supplier"), [(lambda m: m, lambda y: y.s_nationkey)], "nested", lambda y: y.s_suppkey)
+    return _exploded(d, "key", "nested", lambda p: (F.size(p["_2"]) * 100 + p["_1"]).cast("bigint"))
+
+
+@query("j12_lifted_group_join", f"SELECT n_regionkey AS key, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS BIGINT) AS pos, CAST(coalesce((SELECT sum({sql_cents('s_acctbal')}) FROM supplier WHERE s_nationkey = n_nationkey), 0) AS BIGINT) AS v FROM nation")
+def _(t):
+    d = joins.lifted_group_join(_regions(t), "members", t("supplier"), G.total(lambda y: cents(y.s_acctbal)), [(lambda m: m, lambda y: y.s_nationkey)], "folds")
+    return _exploded(d, "key", "folds", lambda p: p["_2"])
+
+
+@query("f11_lookup_flat", "SELECT s_suppkey AS value, CAST(row_number() OVER (ORDER BY s_suppkey) AS BIGINT) AS pos FROM supplier WHERE s_nationkey = 7")
+def _(t):
+    return P.number(B.lookup(F.lit(7), t("supplier"), lambda r: r.s_nationkey, lambda r: r.s_suppkey))
+
+
+@query("f11_lookup_table", "SELECT n_nationkey AS n_nationkey, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS BIGINT) AS pos, s_name AS v FROM nation JOIN supplier ON s_nationkey = n_nationkey")
+def _(t):
+    d = joins.lookup(t("nation", "n_nationkey"), lambda x: x.n_nationkey, t("supplier"), lambda y: y.s_nationkey, lambda y: y.s_name)
+    return _exploded(d, "n_nationkey", "found")
+
+
 @query("j13_join_chain", f"SELECT n_name, CAST(sum({sql_cents('l_extendedprice')}) AS BIGINT) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY n_name ORDER BY revenue DESC, n_name LIMIT 10")
 def _(t):
     return flagship(t.spark, t.sf_dir)
@@ -452,8 +506,7 @@ def _(t):
 
 @query("a7_segmented_fold", "SELECT n_regionkey AS key, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation GROUP BY n_regionkey")
 def _(t):
-    groups = grouping.group_with_key(t("nation"), lambda r: r.n_regionkey).members(item=lambda r: r.n_nationkey)
-    return B.map_(groups, lambda r: {"key": r.key, "total": A.total(r.members)})
+    return grouping.group_with_key(t("nation"), lambda r: r.n_regionkey).aggregate(total=G.total(lambda r: r.n_nationkey))
 
 
 @query("a8_default_for_missing", "SELECT n_nationkey, coalesce((SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000), 0) AS n, NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000 AND s_suppkey % 2 = 0) AS odd FROM nation")
@@ -470,8 +523,21 @@ def _(t):
 
 @query("a10_group_with", "SELECT CAST(row_number() OVER (ORDER BY p_size) AS BIGINT) AS pos, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY p_size")
 def _(t):
-    d = P.number(grouping.group_with(t("part"), lambda r: r.p_size, item=lambda r: r.p_partkey))
-    return B.map_(d, lambda r: {"pos": r.pos, "n": A.length(r.members), "first": A.head(r.members)})
+    folded = grouping.group_with_key(t("part"), lambda r: r.p_size).aggregate(n=G.length(), first=G.minimum(lambda r: r.p_partkey))
+    return B.map_(P.number(folded), lambda r: {"pos": r.pos, "n": r.n, "first": r.first})
+
+
+@query("a10_group_with_members", "SELECT CAST(dense_rank() OVER (ORDER BY n_regionkey) AS BIGINT) AS pos, n_name FROM nation")
+def _(t):
+    groups = P.number(grouping.group_with(t("nation"), lambda r: r.n_regionkey, item=lambda r: r.n_name))
+    return B.concat_map(groups, lambda r: r.members, ("pos",), "n_name")
+
+
+@query("a2_avg_decimal", "SELECT p_brand AS key, CAST(round(sum(CAST(p_retailprice AS DECIMAL(12,2))) * 100) AS BIGINT) AS cents, round(avg(CAST(p_retailprice AS DECIMAL(12,2))), 4) AS mean FROM part GROUP BY p_brand")
+def _(t):
+    price = lambda r: r.p_retailprice.cast("decimal(12,2)")
+    sums = grouping.group_aggr(t("part"), lambda r: r.p_brand, total=G.total(price, "decimal(22,2)"), mean=G.average(price, "double"))
+    return B.map_(sums, lambda r: {"key": r.key, "cents": (r.total * 100).cast("bigint"), "mean": F.round(r.mean, 4)})
 
 
 @query("a11_group_aggr", f"SELECT l_returnflag AS key, CAST(sum({sql_cents('l_extendedprice')}) AS BIGINT) AS total FROM lineitem GROUP BY l_returnflag")
@@ -705,10 +771,22 @@ def _(t):
     return P.zip_(t("region", "r_name"), t("nation", "n_name"), t("supplier", "s_name"))
 
 
-@query("l9_unzip", "SELECT CAST(sum(n_nationkey) AS BIGINT) AS a, CAST(sum(n_regionkey) AS BIGINT) AS b FROM nation")
+@query("l8_zip_with3", "SELECT r_name || n_name || s_name AS value FROM (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS h FROM region) JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) ON h = i JOIN (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS j FROM supplier) ON i = j")
+def _(t):
+    return P.zip_with(lambda r: F.concat(r.r_name, r.n_name, r.s_name), t("region", "r_name"), t("nation", "n_name"), t("supplier", "s_name"))
+
+
+@query("l9_unzip", "SELECT i AS pos, a, b FROM (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS i, n_nationkey AS a, n_regionkey AS b FROM nation)")
 def _(t):
     xs, ys = B.unzip(t("nation", "n_nationkey", "n_regionkey"))
-    return G.fold(xs, a=G.total(lambda r: r.only())).crossJoin(F.broadcast(G.fold(ys, b=G.total(lambda r: r.only()))))
+    both = P.zip_(xs.with_fields({"a": xs.row.only()}), ys.with_fields({"b": ys.row.only()}))
+    return P.number(both)
+
+
+@query("l9_unzip3", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS pos, n_name AS c FROM nation")
+def _(t):
+    _, _, zs = B.unzip(t("nation", "n_nationkey", "n_regionkey", "n_name"))
+    return P.number(zs.with_fields({"c": zs.row.only()}))
 
 
 # --- inner lists -----------------------------------------------------------------
@@ -779,6 +857,11 @@ inner_list("r16_inner_semi_join", lambda xs: A.semi_join(lambda x, y: x < y, xs,
 inner_list("r16_inner_anti_join", lambda xs: A.anti_join(lambda x, y: x < y, xs, A.tail(xs)), "list_filter(xs, lambda x: len(list_filter(xs[2:], lambda y: x < y)) = 0)")
 inner_list("r16_inner_nest_join", lambda xs: A.map_(lambda p: p["_1"] + F.size(p["_2"]), A.nest_join(lambda x, y: x > y, xs, xs)), "list_transform(xs, lambda x: x + len(list_filter(xs, lambda y: x > y)))")
 inner_list("f11_lookup", lambda xs: A.lookup(F.lit(2).cast("bigint"), A.map_(lambda x: F.struct((x % 3).alias("_1"), x.alias("_2")), xs)), "list_filter(xs, lambda x: x % 3 = 2)")
+inner_value("l9_inner_unzip3", lambda xs: A.total(A.unzip3(A.map_(lambda x: F.struct((x % 7).alias("_1"), x.alias("_2"), (x * 2).alias("_3")), xs))["_3"]), "CAST(coalesce(list_sum(list_transform(xs, lambda x: x * 2)), 0) AS BIGINT)")
+inner_list("l8_inner_zip_with3", lambda xs: A.zip_with3(lambda a, b, c: a + b - c, xs, A.reverse(xs), A.tail(xs)), "list_transform(generate_series(1, len(xs) - 1), lambda i: xs[i] + xs[len(xs) + 1 - i] - xs[i + 1])")
+inner_list("r16_inner_product", lambda xs: A.map_(lambda p: p["_1"] * 1000 + p["_2"], A.product(xs, A.take(2, xs))), "flatten(list_transform(xs, lambda x: list_transform(xs[1:2], lambda y: x * 1000 + y)))")
+inner_list("r16_inner_group_join", lambda xs: A.map_(lambda p: p["_1"] * 10000 + p["_2"], A.group_join(lambda x, y: x > y, A.total, xs, xs)), "list_transform(xs, lambda x: x * 10000 + CAST(coalesce(list_sum(list_filter(xs, lambda y: x > y)), 0) AS BIGINT))")
+inner_list("v7_inner_group_aggr", lambda xs: A.map_(lambda g: g["key"] * 10000 + g["value"], A.group_aggr(lambda x: x % 4, A.total, xs)), "list_transform(list_sort(list_distinct(list_transform(xs, lambda x: x % 4))), lambda k: k * 10000 + CAST(list_sum(list_filter(xs, lambda x: x % 4 = k)) AS BIGINT))")
 inner_value("l9_inner_unzip", lambda xs: A.total(A.unzip(A.map_(lambda x: F.struct((x % 7).alias("_1"), x.alias("_2")), xs))["_1"]), "CAST(coalesce(list_sum(list_transform(xs, lambda x: x % 7)), 0) AS BIGINT)")
 
 # Maybe and Either
@@ -788,6 +871,7 @@ inner_value("m2_just_nothing", lambda xs: F.size(S.cond(A.null(xs), M.nothing("b
 inner_value("m3_is_just", lambda xs: M.is_just(A.take(1, xs)), "len(xs) > 0")
 inner_value("m3_is_nothing", lambda xs: M.is_nothing(A.take(1, xs)), "len(xs) = 0")
 inner_value("m4_from_maybe", lambda xs: M.from_maybe(F.lit(-1).cast("bigint"), A.take(1, xs)), "coalesce(xs[1], -1)")
+inner_value("m4_from_just", lambda xs: M.from_just(S.cond(A.null(xs), M.just(F.lit(-1).cast("bigint")), A.take(1, xs))), "coalesce(xs[1], -1)")
 inner_value("m4_maybe", lambda xs: M.maybe(F.lit(0).cast("bigint"), lambda x: x + 5, A.take(1, xs)), "coalesce(xs[1] + 5, 0)")
 inner_list("m5_cat_maybes", lambda xs: M.cat_maybes(A.map_(lambda x: S.cond(x > 300, M.just(x), M.nothing("bigint")), xs)), "list_filter(xs, lambda x: x > 300)")
 inner_list("m5_map_maybe", lambda xs: M.map_maybe(lambda x: S.cond(x > 300, M.just(x * 2), M.nothing("bigint")), xs), "list_transform(list_filter(xs, lambda x: x > 300), lambda x: x * 2)")
@@ -800,6 +884,8 @@ def _eithers(xs: Column) -> Column:
 inner_list("e1_left_right", lambda xs: A.map_(lambda e: F.size(M.either_to_pair(e)["_1"]).cast("bigint"), _eithers(xs)), "list_transform(xs, lambda x: CAST(CASE WHEN x % 2 = 0 THEN 1 ELSE 0 END AS BIGINT))")
 inner_list("e2_either", lambda xs: A.map_(lambda e: M.either(lambda a: a + 1, lambda b: b - 1, e), _eithers(xs)), "list_transform(xs, lambda x: CASE WHEN x % 2 = 0 THEN x + 1 ELSE -x - 1 END)")
 inner_list("e2_is_left", lambda xs: A.map_(lambda e: M.is_left(e), _eithers(xs)), "list_transform(xs, lambda x: x % 2 = 0)")
+inner_list("e2_is_right", lambda xs: A.map_(lambda e: M.is_right(e), _eithers(xs)), "list_transform(xs, lambda x: x % 2 <> 0)")
+inner_list("e1_pair_to_either", lambda xs: A.map_(lambda x: M.is_left(M.pair_to_either(S.cond(x % 2 == 0, M.just(x), M.nothing("bigint")), S.cond(x % 2 == 0, M.nothing("bigint"), M.just(x)))), xs), "list_transform(xs, lambda x: x % 2 = 0)")
 inner_list("e3_lefts", lambda xs: M.lefts(_eithers(xs)), "list_filter(xs, lambda x: x % 2 = 0)")
 inner_list("e3_rights", lambda xs: M.partition_eithers(_eithers(xs))["_2"], "list_transform(list_filter(xs, lambda x: x % 2 <> 0), lambda x: -x)")
 
@@ -813,6 +899,15 @@ def scalar_query(name: str, source: str, key: str, f: Callable, sql: str) -> Non
 
 
 scalar_query("n1_arithmetic", "orders", "o_orderkey", lambda r: {"a": r.o_orderkey + r.o_custkey, "b": r.o_orderkey - r.o_custkey, "c": r.o_custkey * 3}, "o_orderkey + o_custkey AS a, o_orderkey - o_custkey AS b, o_custkey * 3 AS c")
+scalar_query("n1_double_arithmetic", "orders", "o_orderkey", lambda r: {"a": F.round(r.o_totalprice + 0.5, 4), "b": F.round(r.o_totalprice - 1.25, 4), "c": F.round(r.o_totalprice * 0.1, 4)}, "round(o_totalprice + 0.5, 4) AS a, round(o_totalprice - 1.25, 4) AS b, round(o_totalprice * 0.1, 4) AS c")
+
+
+def _exact(c: Column) -> Column:
+    return c.cast("decimal(12,2)")
+
+
+scalar_query("n1_decimal_arithmetic", "part", "p_partkey", lambda r: {"a": ((_exact(r.p_retailprice) + _exact(F.lit("10.25"))) * 100).cast("bigint"), "b": ((_exact(r.p_retailprice) - _exact(F.lit("3.99"))) * 100).cast("bigint"), "c": (_exact(r.p_retailprice) * _exact(F.lit("1.07")) * 10000).cast("bigint")}, "CAST((CAST(p_retailprice AS DECIMAL(12,2)) + 10.25) * 100 AS BIGINT) AS a, CAST((CAST(p_retailprice AS DECIMAL(12,2)) - 3.99) * 100 AS BIGINT) AS b, CAST(CAST(p_retailprice AS DECIMAL(12,2)) * CAST(1.07 AS DECIMAL(5,2)) * 10000 AS BIGINT) AS c")
+scalar_query("n2_decimal_division", "part", "p_partkey", lambda r: {"v": F.round((_exact(r.p_retailprice) / _exact(F.lit("7"))).cast("double"), 5)}, "round(CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) / 7, 5) AS v")
 scalar_query("n2_division", "part", "p_partkey", lambda r: {"v": F.round(r.p_retailprice / 7, 6)}, "round(p_retailprice / 7, 6) AS v")
 scalar_query("n3_quot", "customer", "c_custkey", lambda r: {"v": S.quot(cents(r.c_acctbal), F.lit(300).cast("bigint"))}, f"{sql_cents('c_acctbal')} // 300 AS v")
 scalar_query("n4_rem", "customer", "c_custkey", lambda r: {"v": S.rem(cents(r.c_acctbal), F.lit(7).cast("bigint"))}, f"{sql_cents('c_acctbal')} % 7 AS v")

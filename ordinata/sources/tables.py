@@ -12,7 +12,11 @@ from ordinata.rel import Rel
 
 @dataclasses.dataclass(frozen=True)
 class Hints:
-    """Candidate keys of a table, at least one, and whether it is known to have rows."""
+    """Candidate keys of a table, at least one, and whether it is known to have rows.
+
+    The first key orders the list; the others must exist.  Spark needs no hint
+    about rows: whether there are any is seen at run time.
+    """
 
     keys: tuple[tuple[str, ...], ...]
     non_empty: bool = False
@@ -35,7 +39,7 @@ def table(source: SparkSession | DataFrame, name: str, columns: Sequence[str] |
     """
     df = source if isinstance(source, DataFrame) else source.read.parquet(f"{sf_dir}/{name}.parquet")
     names = list(columns) if columns is not None else df.columns
-    missing = [c for c in [*names, *hints.keys[0]] if c not in df.columns]
+    missing = [c for c in [*names, *[c for key in hints.keys for c in key]] if c not in df.columns]
     if missing:
         raise ValueError(f"table {name} has no column {', '.join(missing)}")
     nested = [c for c in names if df.schema[c].dataType.typeName() in ("array", "struct", "map")]

@@ -197,3 +197,25 @@ def test_tables_need_a_key_and_flat_columns(spark, small):
         table(spark, "embeddings", ("vec_id", "embedding"), default_hints("vec_id"), small)
     with pytest.raises(ValueError, match="no column"):
         table(spark, "nation", ("nope",), default_hints("n_nationkey"), small)
+
+
+def test_plans_as_json_and_dot(spark):
+    from ordinata.plans import export
+
+    df = spark.range(5).where("id > 2").join(spark.range(3).withColumnRenamed("id", "b"), F.col("id") == F.col("b"))
+    nodes = export.plan_json(df)
+    assert any(n["class"].endswith("Join") for n in nodes) and sum(n["num-children"] for n in nodes) == len(nodes) - 1
+    dot = export.plan_dot(df)
+    assert dot.count("->") == len(nodes) - 1 and dot.startswith("digraph")
+
+
+def test_release_gives_back_what_numbering_keeps(spark):
+    from ordinata.operators import positions
+    from ordinata.sources import literal
+
+    positions.release()
+    xs = literal(spark, [(v,) for v in (3, 1, 2)], "struct<x:bigint>")
+    assert [r["pos"] for r in positions.number(xs).df.collect()] and len(positions._dealt) == 1
+    positions.release()
+    assert not positions._dealt and positions.index(xs, 1).collect() == [1] and not positions._dealt
+    assert positions.index(xs, 7).collect() == [] == positions.index(xs, -1).collect()
