@@ -30,7 +30,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
 
 
-def brute_components(rows):
+def brute_components(rows, percent=80):
     sets = [(i, shingles(t)) for i, t in rows]
     parent = {i: i for i, _ in sets}
 
@@ -42,7 +42,7 @@ def brute_components(rows):
     for a, (i, s) in enumerate(sets):
         for j, z in sets[:a]:
             o = len(s & z)
-            if o and 100 * o >= 80 * len(s | z):
+            if o and 100 * o >= percent * len(s | z):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     return {i: (len(s), find(i)) for i, s in sets}
 
@@ -74,14 +74,54 @@ def test_jaccard_against_brute_force(spark, seed):
     assert {r["id"]: (r["n_shingles"], r["component"]) for r in got} == brute_components(rows)
 
 
-def test_jaccard_of_a_large_block_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 500)
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_jaccard_at_the_bound(spark, percent):
+    """Pairs of sets exactly at the bound, just above and just below it."""
+    rows = []
+    for g in range(30):
+        union, both = 20 * (1 + g % 3), 20 * (1 + g % 3) * percent // 100 + (g % 3 - 1)
+        words = [f"g{g}w{i}" for i in range(union)]
+        rows += [(2 * g, " ".join(f"{w} . . . . ." for w in words[:both])), (2 * g + 1, " ".join(f"{w} . . . . ." for w in words))]
+    got = jaccard.link(messy(spark, [(i, t, None, None, None) for i, t in rows], DOCS), percent=percent).collect()
+    want = brute_components(rows, percent)
+    assert {r["id"]: (r["n_shingles"], r["component"]) for r in got} == want
+    assert len({c for _, c in want.values()}) < len(rows)
+
+
+@pytest.mark.parametrize("kind", ["near", "two kinds", "apart"])
+def test_jaccard_of_a_large_block_in_parts(spark, monkeypatch, kind):
+    monkeypatch.setattr(jaccard, "SETS", 7)
     base = [f"v{i}" for i in range(60)]
-    rows = [(i, " ".join([*base[: i % 50], f"u{i}", *base[i % 50 + 1 :]])) for i in range(60)]
+    other = [*base[:40], *[f"o{i}" for i in range(20)]]
+    rows = []
+    for i in range(90):
+        words = list(other if kind == "two kinds" and i % 3 else base)
+        for j in range(1 if kind != "apart" else 3):
+            words[(i + 20 * j) % 60] = f"u{i % 5 if kind == 'apart' else i}"
+        rows.append((i, " ".join(words)))
     got = jaccard.link(messy(spark, [(i, t, None, None, None) for i, t in rows], DOCS)).collect()
     assert {r["id"]: (r["n_shingles"], r["component"]) for r in got} == brute_components(rows)
 
 
+def test_jaccard_of_many_small_blocks_of_text(spark):
+    rng = random.Random(9)
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, f"{common} {' '.join(rng.choice('abcdef') + str(i // 3) for _ in range(rng.choice([3, 14, 40])))}" if i % 2 else " ".join(f"x{i}y{j}" for j in range(30))) for i in range(150)]
+    d = spark.createDataFrame(rows, "id long, text string").withColumn("th", F.xxhash64("text")).select("id", "th", "text")
+    made = jaccard.incidence(d, 80, 5, block_bytes=3000).collect()
+    assert len([r for r in made if r["m"] is None]) == len(rows)
+    assert all(r["id"] is None and r["m"] > 0 and len(r["grams"]) % 8 == 0 for r in made if r["m"] is not None)
+    got = jaccard.link(d.withColumnRenamed("id", "doc_id")).collect()
+    assert {r["id"]: (r["n_shingles"], r["component"]) for r in got} == brute_components(rows)
+
+
+def test_different_texts_of_one_id_are_documents_of_their_own(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    rows = [(3, a), (9, a.replace("a30", "zz")), (9, "a text of its own that nothing is like"), (12, "one more text that nothing else is like"), (None, a), (None, "of no id and like nothing else at all")]
+    got = sorted((r["id"] or 0, r["n_shingles"], r["component"] or 0) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 5, 0), (0, 56, 0), (3, 56, 3), (9, 5, 9), (9, 56, 3), (12, 4, 12)]
+
+
 def test_jaccard_messy(spark, docs, no_docs):
     want = brute_components([(r[0], r[1]) for r in document_rows()])
     got = jaccard.link(docs).collect()
