@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a table that may be broadcast, after its rows and values were measured.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 
 #: The setting of bytes in a batch, its default, and what is set here: long texts then stay within a worker's memory.
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b", "4m")

@@ -234,15 +234,16 @@ class _Product:
 
 
 def _multiplied(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Edges (a, b) that join the sets of each group of `members` (keys, class, n, grams, seeks) that links connect.
+    """Edges (a, b) that join the sets of each group of `members` (keys, name, n, grams, seeks) that links connect, by their names.
 
     Rows with `seeks` 0 make up the group.  Where rows have `seeks` 1, only these are compared, with all of `seeks` 0.
+    Sets of one name are connected already: an edge is given once.
     """
 
     def run(t: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
         data, at = utf8(t.column("grams"))
         h, at = np.frombuffer(data.tobytes(), U), at // 8
-        names, n, seeks = (t.column(c).to_numpy() for c in ("class", "n", "seeks"))
+        names, n, seeks = (t.column(c).to_numpy() for c in ("name", "n", "seeks"))
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             sets = h[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], n[lo:hi], percent
@@ -253,8 +254,9 @@ def _multiplied(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
             else:
                 pairs = search(hi - lo, _Product(*sets).alike)
             for i, found in pairs:
+                found = np.unique(names[lo + found])
                 a.append(np.full(len(found), names[lo + i]))
-                b.append(names[lo + found])
+                b.append(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return grouped(members, keys, run, "a long, b long")
@@ -271,22 +273,21 @@ def _linked(members: DataFrame, percent: int) -> DataFrame:
     grams = F.octet_length("grams") / 8
     sizes = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum(grams) / GRAMS)).alias("q"), F.min("class").alias("hub"))
     big = cut(sizes.where("q > 1"))
-    small = _multiplied(members.join(small_side(big.select("block")), "block", "left_anti").withColumn("seeks", F.lit(0)), ["block"], percent)
+    small = _multiplied(members.join(small_side(big.select("block")), "block", "left_anti").select("block", F.col("class").alias("name"), "n", "grams", F.lit(0).alias("seeks")), ["block"], percent)
     if not big.limit(1).count():
         return small
     whole = cut(members.join(small_side(big), "block").withColumn("part", F.pmod(F.xxhash64("class", F.lit("part")), F.col("q")).cast("int")))
     parts = F.explode(F.sequence(F.lit(0), (F.col("q") - 1).cast("int")))
     hubs = whole.where("class = hub").withColumn("own", F.col("part")).withColumn("part", parts).where("part <> own").drop("own")
-    first = cut(_multiplied(whole.unionByName(hubs).withColumn("seeks", F.lit(0)), ["block", "part"], percent))
-    comp = components(first).withColumnRenamed("v", "class")
-    placed = cut(whole.select("block", "class", "q", "part").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class")))
-    main = placed.groupBy("block", "comp").count().groupBy("block").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
-    rest = placed.join(small_side(cut(main)), "block").where("comp <> main").select("block", "class")
-    rest = cut(whole.join(small_side(cut(rest)), ["block", "class"]).drop("hub", "part"))
+    first = cut(_multiplied(whole.unionByName(hubs).select("block", "part", F.col("class").alias("name"), "n", "grams", F.lit(0).alias("seeks")), ["block", "part"], percent))
+    comp = components(first)
+    placed = whole.drop("hub").join(small_side(cut(comp.withColumnRenamed("v", "class"))), "class", "left").withColumn("name", F.coalesce("comp", "class")).drop("comp")
+    main = placed.groupBy("block", "name").count().groupBy("block").agg(F.max(F.struct("count", "name"))["name"].alias("main"))
+    rest = cut(placed.join(small_side(cut(main)), "block").where("name <> main").drop("part", "main"))
     chunks = cut(rest.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum(grams) / GRAMS)).cast("int").alias("chunks")))
     asked = rest.join(small_side(chunks), "block").withColumn("chunk", F.pmod(F.xxhash64("class", F.lit("chunk")), F.col("chunks")).cast("int")).withColumn("part", parts).withColumn("seeks", F.lit(1))
-    there = whole.join(small_side(chunks), "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("seeks", F.lit(0))
-    keep = ["block", "part", "chunk", "class", "n", "grams", "seeks"]
+    there = placed.join(small_side(chunks), "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("seeks", F.lit(0))
+    keep = ["block", "part", "chunk", "name", "n", "grams", "seeks"]
     return small.union(first).union(_multiplied(asked.select(*keep).union(there.select(*keep)), ["block", "part", "chunk"], percent))
 
 
@@ -317,10 +318,11 @@ def groups(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id
         raise ValueError("percent must be 1 to 100")
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"))
-    made = cut(incidence(rows, percent, k))
-    sets, key = made.where("m is null"), ["s1", "s2", "n"]
+    made, key = cut(incidence(rows, percent, k)), ["s1", "s2", "n"]
+    sets = cut(made.where("m is null").select("id", "th", *key))
     facts = [F.min("id").alias("id"), F.count_if(F.col("m").isNull()).alias("members"), F.max("m").alias("m"), F.first("grams", ignorenulls=True).alias("grams")]
     classes = cut(made.where("n > 0").groupBy(*key).agg(*facts).withColumn("class", F.monotonically_increasing_id()))
+    discard(made)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -339,9 +341,11 @@ def groups(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id
     discard(seen)
     blocks = small_side(cut(blocks.select(F.col("v").alias("class"), F.col("comp").alias("block"))))
     members = cut(classes.select("class", "n", "grams").join(blocks, "class"))
+    named = cut(classes.select("class", "id", "members", *key))
+    discard(classes)
     linked = components(_linked(members, percent)).withColumnRenamed("v", "class")
-    found = cut(classes.select("class", "id", "members", *key).join(linked, "class", "left").withColumn("group", F.coalesce("comp", "class")))
+    found = cut(named.join(linked, "class", "left").withColumn("group", F.coalesce("comp", "class")))
     least = found.groupBy("group").agg(F.min("id").alias("component"))
     found = found.select("group", "members", *key).join(small_side(cut(least)), "group")
-    out = join_classes(sets.select("id", "th", *key), found, key, "members", sets.count(), "th")
+    out = join_classes(sets, found, key, "members", sets.count(), "th")
     return out.select("id", "th", F.col("n").alias("n_shingles"), "group", "component")
