@@ -81,9 +81,8 @@ def rates(table: DataFrame, targets: Callable[[np.ndarray, np.ndarray], np.ndarr
     Each trial is one pass that sums a few numbers per domain; a
     rate is a function of the document's posteriors and the past steps, so nothing is
     stored between passes and a lost task repeats them.  Ends when no total is off by
-    more than `close` of the sum of all, or when no step lowers the error: the targets
-    are then out of reach, the totals those nearest to them, and a warning says how far off they are.  `steps`
-    passes without either raise.  A domain that no document has keeps its error and moves nothing.
+    more than `close` of the sum of all, or when no step lowers the error or `steps` passes did not do: the targets
+    are then out of reach, the totals those nearest to them that were found, and a warning says what they are.  A domain that no document has keeps its error and moves nothing.
     """
 
     def sums(past: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,17 +124,19 @@ def descend(sums: Callable, targets: Callable, steps: int, close: float) -> tupl
         step = np.linalg.solve(gram + ridge * np.eye(len(now)), error) if newton else error / max(np.linalg.eigvalsh(gram).max(), 1e-300)
         for _ in range(12):
             new, _, new_gram = sums([*past, step])
-            if (passes := passes + 1) > steps:
-                raise RuntimeError(f"no rates after {steps} passes: totals {now.tolist()}, wanted {want.tolist()}")
+            passes += 1
             if (off(new) ** 2).sum() < (1 - 1e-3) * (error**2).sum():
                 past, now, gram, newton = [*past, step], new, new_gram, True
                 break
             step = step / 2
         else:
             if not newton:
-                warnings.warn(f"targets out of reach: totals {now.tolist()}, wanted {want.tolist()}", stacklevel=3)
                 break
             newton = False
+        if passes > steps:
+            break
+    if np.abs(off(now)).max() > close * scale:
+        warnings.warn(f"targets out of reach in {passes} passes: totals {now.tolist()}, wanted {want.tolist()}", stacklevel=3)
     return past, want, now
 
 
