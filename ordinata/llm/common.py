@@ -26,7 +26,8 @@ _shipped: set[str] = set()
 def prepare(spark: SparkSession) -> None:
     """Bound the batches that go to Python, unless the session does, and send this package to executors that lack it.
 
-    Python finds the package by PYTHONPATH or the working folder; else it is sent, once.
+    Every operator calls it.  The bound is a setting of the session, since Spark has it nowhere
+    else; a session that sets `spark.sql.execution.arrow.maxBytesPerBatch` keeps its own.  Python finds the package by PYTHONPATH or the working folder; else it is sent, once.
     """
     if spark.conf.get(BATCH_BYTES[0]) == BATCH_BYTES[1]:
         spark.conf.set(BATCH_BYTES[0], BATCH_BYTES[2])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordinata.llm.common import cut, small_side, utf8
+from ordinata.llm.common import cut, prepare, small_side, utf8
 from ordinata.llm.texts import U, mix, slices, word_hashes
 
 #: Bytes that end a word here: ASCII other than letters.
@@ -104,6 +104,7 @@ def labelled(docs: DataFrame, marks: DataFrame, most: int, seed: int = 11) -> Da
 
     The labels are drawn before they meet the texts, so that texts are not dealt.
     """
+    prepare(docs.sparkSession)
     few = cut(marks.where(_lot(seed, most / max(marks.count(), 1))))
     return docs.where("text is not null").join(small_side(few), "id").dropDuplicates(["text"])
 

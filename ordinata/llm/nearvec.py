@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordinata.llm.common import binary, chunk_pairs, components, cut, grouped, join_classes, search, utf8
+from ordinata.llm.common import binary, chunk_pairs, components, cut, grouped, join_classes, prepare, search, utf8
 from ordinata.llm.texts import U, mix
 
 #: Projections whose windows are counted, and a window's half width in distances at the threshold.
@@ -105,6 +105,7 @@ def links(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_
     whose cell it shares.  `plan` sets the numbers: about 0.2 % of pairs exactly at
     the threshold are missed, closer ones less.
     """
+    prepare(vectors.sparkSession)
     kind = vectors.schema[vec_col].dataType
     single = "float" in kind.simpleString()
     real = np.float32 if single else np.float64

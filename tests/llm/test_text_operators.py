@@ -235,6 +235,21 @@ def test_shards_are_whole_balanced_and_gapless(spark, docs, no_docs):
     assert kdtree.shard(no_docs).count() == 0
 
 
+def test_a_cut_is_the_weighted_median(spark):
+    """Two shards of points on one dimension, against the best cut of the sorted weights."""
+    rng = random.Random(5)
+    points = [(i, rng.randrange(1, 40), 1, float(rng.randrange(10_000)), 0.0, 0.0, 0.0) for i in range(400)]
+    df = spark.createDataFrame(points, "pid long, w long, n long, first_id double, length double, source double, lang double")
+    got = {r["pid"]: (r["node"], r["first_id"], r["w"]) for r in kdtree.tree(df, 2).collect()}
+    left, right = ([(x, w) for n, x, w in got.values() if n == side] for side in (0, 1))
+    assert max(x for x, _ in left) <= min(x for x, _ in right)
+    total, best, before = sum(p[1] for p in points), float("inf"), 0
+    for _, w in sorted((p[3], p[1]) for p in points):
+        before += w
+        best = min(best, abs(total / 2 - before))
+    assert abs(sum(w for _, w in left) - total / 2) <= best + 1e-9
+
+
 def test_a_text_that_outweighs_a_shard_is_split(spark):
     rows = [(i, "same text", "en", "a", 1) for i in range(1500)] + [(i, f"text {i}", "en", "b", 1) for i in range(1500, 3000)]
     total = kdtree.shard(messy(spark, rows, DOCS)).toPandas().groupby("shard")["size"].sum()
