@@ -17,7 +17,7 @@ from ordinata.llm.common import binary, components, cut, discard, grouped, join_
 from ordinata.llm.texts import U, mix, shingle_hashes, slices, word_hashes
 
 #: Sets, and n-grams of them, that are multiplied in one task; a larger block is cut in parts.
-SETS, GRAMS = 256, 200_000
+SETS, GRAMS = 96, 200_000
 
 
 def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
