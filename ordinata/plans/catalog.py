@@ -1054,6 +1054,22 @@ def _(t):
     return c.where(lambda n: n.value > 280).yield_(lambda s: {"s_suppkey": s.s_suppkey})
 
 
+@query("c6_generators_tied_late", "SELECT r_name, p_name, CAST(count(*) AS BIGINT) AS n FROM region, part, nation, supplier, lineitem WHERE n_regionkey = r_regionkey AND s_nationkey = n_nationkey AND l_suppkey = s_suppkey AND l_partkey = p_partkey AND p_size > 45 GROUP BY r_name, p_name")
+def _(t):
+    c = Comp().bind("r", t("region")).bind("p", t("part")).bind("n", t("nation")).bind("s", t("supplier")).bind("l", t("lineitem"))
+    c = c.equal(lambda l: l.l_partkey, lambda p: p.p_partkey).equal(lambda l: l.l_suppkey, lambda s: s.s_suppkey).equal(lambda s: s.s_nationkey, lambda n: n.n_nationkey)
+    c = c.equal(lambda n: n.n_regionkey, lambda r: r.r_regionkey).where(lambda p: p.p_size > 45)
+    return c.yield_(lambda r, p: {"r_name": r.r_name, "p_name": p.p_name}).plain().groupBy("r_name", "p_name").agg(F.count("*").alias("n"))
+
+
+@query("c7_folds_share_a_join", "SELECT c_custkey, count(o_orderkey) AS n, max(o_orderkey) AS latest FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY c_custkey")
+def _(t):
+    c, key = Comp().bind("c", t("customer")), [(lambda c: c.c_custkey, lambda o: o.o_custkey)]
+    c = c.fold("n", "o", t("orders"), G.length(), lambda o: o.o_orderstatus == "O", equal=key)
+    c = c.fold("latest", "o", t("orders"), G.maximum(lambda o: o.o_orderkey), lambda o: o.o_orderstatus == "O", equal=key)
+    return c.yield_(lambda c, n, latest: {"c_custkey": c.c_custkey, "n": n.value, "latest": latest.value})
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

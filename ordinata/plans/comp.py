@@ -6,11 +6,14 @@
           .yield_(lambda c, o: {"name": c.c_name, "key": o.o_orderkey})
 
 A function's parameter names say which variables it sees.  A guard over one
-variable filters its list before any join; one over several becomes the join's
-condition as soon as all are bound, so that no pair of correlated generators is
-a product.  Quantified guards become semi and anti joins on the list of their
-outer variables, below nested results; nested comprehensions in the head become
-nest joins, or group joins where only a fold of them is wanted.
+variable filters its list before any join.  Generators are joined when the result
+is needed: those that guards tie first, equal keys before other guards, whatever
+the order they were bound in, so that a product is made only of generators that no
+guard ties.  The result keeps the order of the generators.  Quantified guards
+become semi and anti joins on the list of their outer variables, below nested
+results; nested comprehensions in the head become nest joins, or group joins where
+only a fold of them is wanted.  Folds of one list under equal guards, one after the
+other, share a group join.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ import inspect
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ordinata.operators import joins
 from ordinata.operators.aggregates import Agg
-from ordinata.rel import Rel, Row, RowFn, named
+from ordinata.rel import ORDER, Rel, Row, RowFn, named
 
 Fn = Callable[..., Column]
 Pair = tuple[Fn, Fn]
@@ -43,25 +47,42 @@ class _Inner:
     guards: Sequence[Fn]
 
 
+@dataclasses.dataclass
+class _Part:
+    """A list that runs over some variables and is not joined with the others yet."""
+
+    vars: list[str]
+    rel: Rel
+
+
+@dataclasses.dataclass
+class _Folds:
+    """Folds of one inner list under the same guards, and the comprehension before them."""
+
+    before: Comp
+    inner: _Inner
+    aggs: dict[str, Agg]
+
+
 class Comp:
     """A comprehension under construction; every method gives a new one."""
 
     def __init__(self):
-        self._rel: Rel | None = None
+        self._parts: list[_Part] = []
         self._vars: dict[str, list[str]] = {}
+        #: Guards over variables of several parts, or not bound yet.
         self._waiting: list[Fn | Pair] = []
         self._plan: list[str] = []
-        #: A generator that no guard ties to the others yet: (left, right, variable).
-        self._held: tuple[Rel, Rel, str] | None = None
+        self._folds: _Folds | None = None
 
     @property
     def plan(self) -> list[str]:
         """The joins that were chosen, in order."""
-        return list(self._plan)
+        return list(self._joined()._plan)
 
-    def _copy(self, rel: Rel | None, *steps: str) -> Comp:
+    def _copy(self, parts: list[_Part], *steps: str) -> Comp:
         out = Comp()
-        out._rel, out._vars, out._waiting, out._plan = rel, dict(self._vars), list(self._waiting), [*self._plan, *steps]
+        out._parts, out._vars, out._waiting, out._plan = list(parts), dict(self._vars), list(self._waiting), [*self._plan, *steps]
         return out
 
     def _row(self, var: str) -> Row:
@@ -70,42 +91,16 @@ class Comp:
     def _call(self, f: Fn, **inner: Row) -> Column:
         return f(*[inner[v] if v in inner else self._row(v) for v in _names(f)])
 
+    def _test(self, g: Fn | Pair) -> Column:
+        return self._call(g[0]) == self._call(g[1]) if isinstance(g, tuple) else self._call(g)
+
     def bind(self, var: str, xs: Rel) -> Comp:
         """A generator: `var` runs over a list."""
         if var in self._vars:
             raise ValueError(f"{var} is bound already")
-        if self._held:
-            return self._joined().bind(var, xs)
-        right = _prefixed(var, xs)
-        out = self._copy(self._rel)
+        out = self._copy([*self._parts, _Part([var], _prefixed(var, xs))])
         out._vars[var] = list(xs.fields)
-        if self._rel is None:
-            out._rel = right
-            return out
-        ready = [g for g in self._waiting if var in _vars_of(g) and _vars_of(g) <= out._vars.keys()]
-        out._waiting = [g for g in self._waiting if g not in ready]
-        if ready:
-            out._rel = joins.theta_join(self._rel, right, lambda x, y: _conjunction([out._test(g) for g in ready]))
-            out._plan.append(f"theta {var}")
-        else:
-            out._rel = None
-            out._plan.append(f"pending {var}")
-            out._held = (self._rel, right, var)
-        return out
-
-    def _test(self, g: Fn | Pair) -> Column:
-        return self._call(g[0]) == self._call(g[1]) if isinstance(g, tuple) else self._call(g)
-
-    def _joined(self, on: Fn | Pair | None = None) -> Comp:
-        """The generator that waits for a guard, joined by it or, without one, as a product."""
-        held = self._held
-        if held is None:
-            return self
-        left, right, var = held
-        out = self._copy(None)
-        out._plan[-1] = f"product {var}" if on is None else f"theta {var}"
-        out._rel = joins.product(left, right) if on is None else joins.theta_join(left, right, lambda x, y: out._test(on))
-        return out
+        return out._settled()
 
     def where(self, guard: Fn) -> Comp:
         """A guard over variables that are bound, or will be."""
@@ -116,35 +111,76 @@ class Comp:
         return self._guard((f, g))
 
     def _guard(self, g: Fn | Pair) -> Comp:
-        seen = _vars_of(g)
-        held = self._held
-        if not seen <= self._vars.keys():
-            out = self._copy(self._rel)
-            if held:
-                out._held = held
-            out._waiting.append(g)
-            return out
-        if held:
-            left, right, var = held
-            if var in seen and len(seen) > 1:
-                return self._joined(g)
-            out = self._copy(None)
-            side = 1 if var in seen else 0
-            new = [left, right]
-            new[side] = Rel(new[side].df.where(self._test(g)), new[side].fields, new[side].dirs)
-            out._held = (*new, var)
-            return out
-        return self._copy(Rel(self._rel.df.where(self._test(g)), self._rel.fields, self._rel.dirs))
+        out = self._copy(self._parts)
+        out._waiting.append(g)
+        return out._settled()
+
+    def _settled(self) -> Comp:
+        """Guards over one part filter it."""
+        out = self._copy(self._parts)
+        out._waiting = []
+        for g in self._waiting:
+            i = self._part_of(_vars_of(g))
+            if i is None:
+                out._waiting.append(g)
+                continue
+            part = out._parts[i]
+            out._parts[i] = _Part(part.vars, Rel(part.rel.df.where(self._test(g)), part.rel.fields, part.rel.dirs))
+        return out
+
+    def _part_of(self, seen: set[str]) -> int | None:
+        return next((i for i, p in enumerate(self._parts) if seen <= set(p.vars)), None)
+
+    def _over(self, seen: set[str]) -> tuple[Comp, int]:
+        """The part over these variables; all joined if there is none."""
+        i = self._part_of(seen)
+        return (self._joined(), 0) if i is None else (self, i)
+
+    def _with(self, i: int, rel: Rel, new: Sequence[str] = (), *steps: str) -> Comp:
+        """Part i replaced, with new variables of one value."""
+        out = self._copy(self._parts, *steps)
+        out._parts[i] = _Part([*self._parts[i].vars, *new], rel)
+        out._vars |= {v: ["value"] for v in new}
+        return out._settled()
+
+    def _joined(self) -> Comp:
+        """All parts as one list, in the order of the generators."""
+        out, places, widths = self, [[i] for i in range(len(self._parts))], [len(p.rel.dirs) for p in self._parts]
+        while len(out._parts) > 1:
+            i, j, ready = out._next_join()
+            left, right = out._parts[i], out._parts[j]
+            tests = [out._test(g) for g in ready]
+            rel = joins.theta_join(left.rel, right.rel, lambda x, y, tests=tests: _conjunction(tests)) if tests else joins.product(left.rel, right.rel)
+            parts = [_Part(left.vars + right.vars, rel) if k == i else p for k, p in enumerate(out._parts) if k != j]
+            out = out._copy(parts, f"{'theta' if tests else 'product'} {' '.join(right.vars)}")
+            out._waiting = [g for g in out._waiting if g not in ready]
+            places[i] += places.pop(j)
+        if places and places[0] != sorted(places[0]):
+            out = out._copy([_Part(out._parts[0].vars, _reordered(out._parts[0].rel, places[0], widths))])
+        return out
+
+    def _next_join(self) -> tuple[int, int, list[Fn | Pair]]:
+        """Two parts and the guards over both: those with equal keys first, then other guards, then a product."""
+        n = len(self._parts)
+        found = []
+        for i in range(n):
+            for j in range(i + 1, n):
+                both = {*self._parts[i].vars, *self._parts[j].vars}
+                if ready := [g for g in self._waiting if _vars_of(g) <= both]:
+                    found.append((not any(isinstance(g, tuple) for g in ready), i, j, ready))
+        if found:
+            return min(found, key=lambda x: x[:3])[1:]
+        for g in self._waiting:  # one over three parts or more
+            if (seen := _vars_of(g)) <= self._vars.keys():
+                i, j = [k for k, p in enumerate(self._parts) if seen & set(p.vars)][:2]
+                return i, j, []
+        return 0, 1, []
 
     def let(self, var: str, f: Callable[..., Column]) -> Comp:
         """A name for an expression, computed once a row."""
-        ready = self._joined()
-        rel = ready._rel
-        value = ready._call(f)
-        new = Rel(rel.df.withColumn(f"{var}__value", value), [*rel.fields, f"{var}__value"], rel.dirs)
-        out = ready._copy(new)
-        out._vars[var] = ["value"]
-        return out
+        ready, i = self._over(set(_names(f)))
+        rel = ready._parts[i].rel
+        return ready._with(i, Rel(rel.df.withColumn(f"{var}__value", ready._call(f)), [*rel.fields, f"{var}__value"], rel.dirs), [var])
 
     def exists(self, var: str, ys: Rel, *guards: Fn, equal: Sequence[Pair] = ()) -> Comp:
         """Some y meets all guards: a semi join."""
@@ -160,22 +196,29 @@ class Comp:
         return self._quantified(_Inner(var, ys, equal, [*guards, breaks]), joins.anti_join, "anti")
 
     def _quantified(self, inner: _Inner, join: Callable, kind: str) -> Comp:
-        ready = self._joined()
+        outer = {v for g in [*inner.guards, *[f for pair in inner.equal for f in pair]] for v in _names(g)} - {inner.var}
+        ready, i = self._over(outer)
         right = _prefixed(inner.var, inner.rel)
         row = Row(inner.rel.fields, f"{inner.var}__")
         own = [g for g in inner.guards if set(_names(g)) == {inner.var}]
         both = [g for g in inner.guards if set(_names(g)) != {inner.var}]
         if own:
             right = Rel(right.df.where(_conjunction([g(row) for g in own])), right.fields, right.dirs)
-        tests = [ready._call(f, **{inner.var: row}) == ready._call(g, **{inner.var: row}) for f, g in inner.equal]
-        tests += [ready._call(g, **{inner.var: row}) for g in both]
+        tests = ready._tests(_Inner(inner.var, inner.rel, inner.equal, both))
         if not tests:
             raise ValueError(f"no guard ties {inner.var} to an outer variable")
-        return ready._copy(join(ready._rel, right, lambda x, y: _conjunction(tests)), f"{kind} {inner.var}")
+        return ready._with(i, join(ready._parts[i].rel, right, lambda x, y: _conjunction(tests)), (), f"{kind} {inner.var}")
+
+    def _tests(self, inner: _Inner, name: str | None = None) -> list[Column]:
+        """The guards of an inner generator, its fields under the name of another one if given."""
+        row = Row(inner.rel.fields, f"{name or inner.var}__")
+        call = lambda f: self._call(f, **{inner.var: row})
+        return [*[call(f) == call(g) for f, g in inner.equal], *[call(g) for g in inner.guards]]
 
     def nest(self, name: str, var: str, ys: Rel, *guards: Fn, equal: Sequence[Pair] = (), item: Callable[[Row], Column] | None = None) -> Comp:
         """The list [item | y <- ys, guards] for each element, as variable `name`: a nest join; without a guard over both, the whole list."""
         ready = self._joined()
+        xs = ready._parts[0].rel
         inner, where, outer, on, keys = ready._split(_Inner(var, ys, equal, guards))
         value = (lambda r: item(Row(ys.fields, f"{var}__"))) if item else None
         if not keys and on is None:
@@ -183,28 +226,43 @@ class Comp:
                 inner = Rel(inner.df.where(where(inner.row)), inner.fields, inner.dirs)
             if outer:
                 raise ValueError("a guard over outer variables alone needs one that ties the inner list to them")
-            new, step = joins.nest_product(ready._rel, inner, f"{name}__value", value), f"nest product {var}"
+            new, step = joins.nest_product(xs, inner, f"{name}__value", value), f"nest product {var}"
         else:
-            new, step = joins.nest_join(ready._rel, inner, keys, on, f"{name}__value", value, where, outer), f"nest {var}"
-        out = ready._copy(new, step)
-        out._vars[name] = ["value"]
-        return out
+            new, step = joins.nest_join(xs, inner, keys, on, f"{name}__value", value, where, outer), f"nest {var}"
+        return ready._with(0, new, [name], step)
 
     def fold(self, name: str, var: str, ys: Rel, agg: Agg, *guards: Fn, equal: Sequence[Pair] = ()) -> Comp:
         """A fold of [y | y <- ys, guards] for each element, as variable `name`: a group join.
 
         `agg` folds over a row with the fields of y, or over all fields if a guard ties them otherwise than by equal keys.
+        A fold right after one of the same list under equal guards is made by the same group join.
         """
-        ready = self._joined()
-        inner, where, outer, on, keys = ready._split(_Inner(var, ys, equal, guards))
+        inner = _Inner(var, ys, equal, guards)
+        folds = self._folds
+        if folds and name not in self._vars and self._alike(folds.inner, inner):
+            folds = _Folds(folds.before, folds.inner, {**folds.aggs, name: agg})
+        else:
+            folds = _Folds(self._joined(), inner, {name: agg})
+        before, first = folds.before, folds.inner
+        right, where, outer, on, keys = before._split(first)
         if outer:
             test, on0 = outer, on
             on = lambda x, y: test(x) & on0(x, y) if on0 else test(x)
-        plain = Agg(lambda r: agg.fold(Row(ys.fields, f"{var}__")), agg.empty)
-        out = ready._copy(joins.group_join(ready._rel, inner, {f"{name}__value": plain}, keys, on, where), f"group {var}")
-        out._vars[name] = ["value"]
+        row = Row(ys.fields, f"{first.var}__")
+        plain = {f"{n}__value": Agg(lambda r, a=a: a.fold(row), a.empty) for n, a in folds.aggs.items()}
+        out = before._with(0, joins.group_join(before._parts[0].rel, right, plain, keys, on, where), list(folds.aggs), f"group {first.var}")
+        if len(out._waiting) == len(before._waiting):  # no guard filtered by a fold meanwhile
+            out._folds = folds
         return out
 
+    def _alike(self, a: _Inner, b: _Inner) -> bool:
+        """The same list under equal guards."""
+        if len(a.equal) != len(b.equal) or len(a.guards) != len(b.guards) or a.rel.fields != b.rel.fields:
+            return False
+        if a.rel is not b.rel and not a.rel.df.sameSemantics(b.rel.df):
+            return False
+        return all(x._jc.equals(y._jc) for x, y in zip(self._tests(a), self._tests(b, a.var), strict=True))
+
     def _split(self, inner: _Inner):
         """(prefixed list, guard over it alone, guard over outer variables alone, guard over both, key pairs)."""
         row = Row(inner.rel.fields, f"{inner.var}__")
@@ -226,14 +284,24 @@ class Comp:
     def yield_(self, f: Callable[..., RowFn]) -> Rel:
         """The head: one field or several for each binding of the variables."""
         ready = self._joined()
+        if not ready._parts:
+            raise ValueError("no variable is bound")
         if ready._waiting:
             raise ValueError("a guard names a variable that is not bound")
-        return ready._rel.with_fields(named(f(*[ready._row(v) for v in _names(f)])))
+        return ready._parts[0].rel.with_fields(named(f(*[ready._row(v) for v in _names(f)])))
 
 
-def _prefixed(var: str, xs: Rel) -> Rel:
-    from pyspark.sql import functions as F
+def _reordered(rel: Rel, places: Sequence[int], widths: Sequence[int]) -> Rel:
+    """A list whose parts were joined in the order `places`, in the parts' own order."""
+    starts, at = {}, 0
+    for p in places:
+        starts[p], at = at, at + widths[p]
+    old = [starts[p] + k for p in sorted(places) for k in range(widths[p])]
+    hidden = [F.col(f"{ORDER}{o}").alias(f"{ORDER}{n}") for n, o in enumerate(old)]
+    return Rel(rel.df.select(*[F.col(f"`{f}`") for f in rel.fields], *hidden), rel.fields, [rel.dirs[o] for o in old])
 
+
+def _prefixed(var: str, xs: Rel) -> Rel:
     return xs.with_fields({f"{var}__{f}": F.col(f"`{f}`") for f in xs.fields})
 
 

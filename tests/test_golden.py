@@ -180,3 +180,35 @@ def test_laws(ints):
         assert P.take(xs, n).collect() + P.drop(xs, n).collect() == values
     assert P.reverse(P.reverse(xs)).collect() == values
     assert P.reverse(P.sort_with(P.reverse(xs), lambda r: r.value)).collect() == sorted(values, reverse=True)
+
+
+def test_generators_are_joined_where_guards_tie_them(spark, ints):
+    c = Comp().bind("a", ints([1, 2])).bind("s", ints([2, 3])).bind("n", ints([1, 2, 3])).equal(lambda a: a.value + 1, lambda n: n.value).equal(lambda s: s.value, lambda n: n.value)
+    assert c.plan == ["theta n", "theta s"]
+    assert c.yield_(lambda a, s, n: {"a": a.value, "s": s.value, "n": n.value}).collect() == [(1, 2, 2), (2, 3, 3)]
+    c = Comp().bind("a", ints([1, 2])).bind("s", P.reverse(ints([1, 2, 3]))).bind("n", ints([3, 1])).equal(lambda s: s.value, lambda n: n.value)
+    assert c.plan == ["theta n", "product s n"]
+    assert c.yield_(lambda a, s, n: {"a": a.value, "s": s.value, "n": n.value}).collect() == [(a, s, s) for a in (1, 2) for s in (3, 1)]
+    c = Comp().bind("a", ints([1, 2])).bind("s", ints([1, 2])).bind("n", ints([2, 3])).where(lambda a, s, n: a.value + s.value == n.value)
+    assert c.plan == ["product s", "theta n"]
+    assert c.yield_(lambda a, s, n: {"a": a.value, "s": s.value, "n": n.value}).collect() == [(1, 1, 2), (1, 2, 3), (2, 1, 3)]
+    c = Comp().bind("a", ints([1, 2])).bind("s", ints([1, 2, 3])).exists("z", ints([2]), equal=[(lambda s: s.value, lambda z: z.value)]).let("t", lambda a: a.value * 10).equal(lambda a: a.value, lambda s: s.value)
+    assert c.plan == ["semi z", "theta s"]
+    assert c.yield_(lambda s, t: {"s": s.value, "t": t.value}).collect() == [(2, 20)]
+    with pytest.raises(ValueError):
+        c.where(lambda q: q.value > 1).yield_(lambda s: {"s": s.value})
+
+
+def test_folds_under_equal_guards_share_a_join(ints, pairs):
+    key, zs = [(lambda x: x.value, lambda z: z.k)], pairs([(1, 5), (1, 7), (3, 1)])
+    c = Comp().bind("x", ints([1, 2])).fold("n", "z", zs, G.length(), lambda z: z.v > 1, equal=key)
+    again = [(lambda x: x.value, lambda w: w.k)]
+    d = c.fold("s", "w", zs, G.total(lambda w: w.v), lambda w: w.v > 1, equal=again)
+    assert d.plan == ["group z"]
+    assert d.yield_(lambda x, n, s: {"x": x.value, "n": n.value, "s": s.value}).collect() == [(1, 2, 12), (2, 0, 0)]
+    d = c.fold("s", "w", zs, G.total(lambda w: w.v), lambda w: w.v > 5, equal=again)
+    assert d.plan == ["group z", "group w"]
+    assert d.yield_(lambda x, n, s: {"x": x.value, "n": n.value, "s": s.value}).collect() == [(1, 2, 7), (2, 0, 0)]
+    d = c.where(lambda n: n.value > 0).fold("s", "w", zs, G.total(lambda w: w.v), lambda w: w.v > 1, equal=again)
+    assert d.plan == ["group z", "group w"]
+    assert d.yield_(lambda x, s: {"x": x.value, "s": s.value}).collect() == [(1, 12)]
