@@ -85,8 +85,16 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if measured(df) <= BROADCAST_BYTES else df
 
 
+def _fixed(df: DataFrame) -> int | None:
+    """Bytes of a row as `measured` counts them; None where they differ from row to row."""
+    nested = ("string", "binary", "array", "struct", "map")
+    return None if any(f.dataType.typeName() in nested for f in df.schema.fields) else 16 + 8 * len(df.columns)
+
+
 def measured(df: DataFrame) -> int:
     """Bytes of the values of `df`: 16 a row, 8 a number, the lengths of texts, and for nested values those of their JSON."""
+    if _fixed(df):
+        return df.count() * _fixed(df)
     size = F.lit(16)
     for f in df.schema.fields:
         kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
@@ -103,25 +111,27 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of undirected `edges` (a long, b long): rows (v, comp), comp the least vertex.
 
     Rounds of large-star and small-star contraction; each node's neighbours are
-    reduced by `min` and joined back, so no neighbourhood is gathered anywhere.
+    reduced by `min` and joined back (`known`: a hub's edges are not dealt by the hub), so no
+    neighbourhood is gathered anywhere.
     Vertices without edges are not listed; no edges, no rows.  Self-loops and
     repeated edges do no harm.
     """
+    least = [F.min("v").alias("m"), F.count("*").alias("n")]
     cur = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
+        made: list[DataFrame] = []
         # large star: every larger neighbour of u hangs on the least of u's neighbourhood
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        back = cur.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        of = cur.select("u", "v").union(back).groupBy("u").agg(*least).withColumn("m", F.least("m", "u"))
+        large = cut(known(back, of, ["u"], "n", 2 * cur.count(), made).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         # small star: u and its smaller neighbours hang on the least of them
-        large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        nxt = cut(nxt)
+        low = large.groupBy("u").agg(*least)
+        small = known(large, low, ["u"], "n", large.count(), made)
+        nxt = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         # done when every vertex hangs on one root and no root hangs on anything
-        moved = nxt.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() or nxt.join(nxt.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
-        discard(cur)
+        moved = nxt.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() or nxt.select("v").distinct().join(nxt.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+        for old in (cur, large, *made):
+            discard(old)
         cur = nxt
         if not moved:
             break
@@ -201,18 +211,37 @@ def binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets * values.itemsize, np.int64)), pa.py_buffer(values)]).cast(pa.binary())
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], count: str, total: int, spread: str) -> DataFrame:
+def known(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int, made: list[DataFrame] | None = None) -> DataFrame:
+    """`rows` left-joined with `facts`, which has a row for each value of `keys` that some of the `total` rows have, and in `count` how many have it.
+
+    Facts of few bytes are broadcast, by the rows there can be or as measured on a cut of them; `join_classes` joins others.
+    `made` gets the cut, if there is one, for the caller to discard.
+    """
+    width = _fixed(facts)
+    if not width or total * width > BROADCAST_BYTES:
+        if not hasattr(facts, "cut_path"):
+            facts = cut(facts)
+            if made is not None:
+                made.append(facts)
+        if measured(facts) > BROADCAST_BYTES:
+            return join_classes(rows, facts, keys, count, total)
+    return rows.join(F.broadcast(facts), keys, "left").select(*rows.columns, *[c for c in facts.columns if c not in keys])
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """`rows` left-joined with `classes` (unique on `keys`, all filled) without a task that gets a hot class whole.
 
     Classes of more than a thousandth of the `total` rows, by their column `count`,
-    are fewer than a thousand and joined by broadcast.  Their rows take part in
-    the other join under a key of their own, by hash of column `spread`.
+    are fewer than a thousand and joined by broadcast.  Their rows, and those with a null key, take part in
+    the other join under a key of their own, by place: copies, equal or missing ids do not heap up.
     """
     values = [c for c in classes.columns if c not in keys]
     bound = max(total / 1000, 8)
-    key = F.xxhash64(*keys)
+    key, filled = F.xxhash64(*keys), F.lit(True)
+    for k in keys:
+        filled = filled & F.col(k).isNotNull()
     hot = classes.where(F.col(count) > bound).select(*keys, F.struct(*values).alias("__hot"))
-    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("__key", F.when(F.col("__hot").isNull(), key).otherwise(F.xxhash64(spread)))
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("__key", F.when(F.col("__hot").isNull() & filled, key).otherwise(F.monotonically_increasing_id()))
     cold = classes.where(F.col(count) <= bound).select(key.alias("__key"), *[F.col(k).alias(f"__c_{k}") for k in keys], F.struct(*values).alias("__cold"))
     same = rows["__key"] == cold["__key"]
     for k in keys:
@@ -229,8 +258,10 @@ def chunk_pairs(rows: DataFrame, key: str, big: DataFrame, most: int) -> DataFra
     of chunk c goes to the q parts of (c, d), so that any two rows of the group
     meet in a part, and a part holds two chunks at most.
     """
+    big = cut(big.select(key, "all"))
     q = F.coalesce(F.ceil(F.col("all") / most).cast("int"), F.lit(1))
-    d = rows.join(small_side(cut(big.select(key, "all"))), key, "left").withColumn("q", q).withColumn("c", F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("q")).cast("int"))
+    total = big.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    d = known(rows, big, [key], "all", total).withColumn("q", q).withColumn("c", F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("q")).cast("int"))
     d = d.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     return d.withColumn("part", F.least("c", "d").cast("long") * 65536 + F.greatest("c", "d")).withColumnRenamed("c", "chunk").drop("q", "d", "all")
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordinata.llm.common import binary, components, cut, discard, grouped, join_classes, prepare, search, small_side, utf8
+from ordinata.llm.common import binary, components, cut, discard, grouped, join_classes, known, prepare, search, small_side, utf8
 from ordinata.llm.texts import U, mix, shingle_hashes, slices, word_hashes
 
 #: Sets, and n-grams of them, that are multiplied in one task; a larger block is cut in parts.
@@ -271,22 +271,26 @@ def _linked(members: DataFrame, percent: int) -> DataFrame:
     near copies costs little more than its size, and only a block whose sets do not link costs the square.
     """
     grams = F.octet_length("grams") / 8
-    sizes = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum(grams) / GRAMS)).alias("q"), F.min("class").alias("hub"))
+    sizes = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum(grams) / GRAMS)).alias("q"), F.min("class").alias("hub"), F.count("*").alias("size"))
     big = cut(sizes.where("q > 1"))
-    small = _multiplied(members.join(small_side(big.select("block")), "block", "left_anti").select("block", F.col("class").alias("name"), "n", "grams", F.lit(0).alias("seeks")), ["block"], percent)
+    sized = known(members, big, ["block"], "size", members.count())
+    small = _multiplied(sized.where("q is null").select("block", F.col("class").alias("name"), "n", "grams", F.lit(0).alias("seeks")), ["block"], percent)
     if not big.limit(1).count():
         return small
-    whole = cut(members.join(small_side(big), "block").withColumn("part", F.pmod(F.xxhash64("class", F.lit("part")), F.col("q")).cast("int")))
+    whole = cut(sized.where("q is not null").drop("size").withColumn("part", F.pmod(F.xxhash64("class", F.lit("part")), F.col("q")).cast("int")))
     parts = F.explode(F.sequence(F.lit(0), (F.col("q") - 1).cast("int")))
     hubs = whole.where("class = hub").withColumn("own", F.col("part")).withColumn("part", parts).where("part <> own").drop("own")
     first = cut(_multiplied(whole.unionByName(hubs).select("block", "part", F.col("class").alias("name"), "n", "grams", F.lit(0).alias("seeks")), ["block", "part"], percent))
     comp = components(first)
     placed = whole.drop("hub").join(small_side(cut(comp.withColumnRenamed("v", "class"))), "class", "left").withColumn("name", F.coalesce("comp", "class")).drop("comp")
-    main = placed.groupBy("block", "name").count().groupBy("block").agg(F.max(F.struct("count", "name"))["name"].alias("main"))
-    rest = cut(placed.join(small_side(cut(main)), "block").where("name <> main").drop("part", "main"))
-    chunks = cut(rest.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum(grams) / GRAMS)).cast("int").alias("chunks")))
-    asked = rest.join(small_side(chunks), "block").withColumn("chunk", F.pmod(F.xxhash64("class", F.lit("chunk")), F.col("chunks")).cast("int")).withColumn("part", parts).withColumn("seeks", F.lit(1))
-    there = placed.join(small_side(chunks), "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("seeks", F.lit(0))
+    total = whole.count()
+    main = placed.groupBy("block", "name").count().groupBy("block").agg(F.max(F.struct("count", "name"))["name"].alias("main"), F.sum("count").alias("size"))
+    main = cut(main)
+    rest = cut(known(placed, main, ["block"], "size", total).where("name <> main").drop("part", "main", "size"))
+    chunks = rest.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum(grams) / GRAMS)).cast("int").alias("chunks"))
+    chunks = cut(chunks.join(main.select("block", "size"), "block"))
+    asked = known(rest, chunks, ["block"], "size", total).withColumn("chunk", F.pmod(F.xxhash64("class", F.lit("chunk")), F.col("chunks")).cast("int")).withColumn("part", parts).withColumn("seeks", F.lit(1))
+    there = known(placed, chunks, ["block"], "size", total).where("chunks is not null").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("seeks", F.lit(0))
     keep = ["block", "part", "chunk", "name", "n", "grams", "seeks"]
     return small.union(first).union(_multiplied(asked.select(*keep).union(there.select(*keep)), ["block", "part", "chunk"], percent))
 
@@ -336,8 +340,8 @@ def groups(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(max(100 / percent, 1.0001)) + 1e-9)
     seen = classes.where("m > 0").select("class", "m", "grams", band.cast("int").alias("band")).mapInArrow(rare, "gram long, class long, band int")
     seen = cut(seen.select("gram", "class", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")))
-    hubs = seen.groupBy("gram", "band").agg(F.min("class").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    blocks = components(seen.join(hubs, ["gram", "band"]).where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct())
+    hubs = seen.groupBy("gram", "band").agg(F.min("class").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    blocks = components(known(seen, hubs, ["gram", "band"], "n", seen.count()).where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct())
     discard(seen)
     blocks = small_side(cut(blocks.select(F.col("v").alias("class"), F.col("comp").alias("block"))))
     members = cut(classes.select("class", "n", "grams").join(blocks, "class"))
@@ -345,7 +349,9 @@ def groups(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id
     discard(classes)
     linked = components(_linked(members, percent)).withColumnRenamed("v", "class")
     found = cut(named.join(linked, "class", "left").withColumn("group", F.coalesce("comp", "class")))
-    least = found.groupBy("group").agg(F.min("id").alias("component"))
-    found = found.select("group", "members", *key).join(small_side(cut(least)), "group")
-    out = join_classes(sets, found, key, "members", sets.count(), "th")
+    least = found.groupBy("group").agg(F.min("id").alias("component"), F.count("*").alias("classes"))
+    found = known(found.select("group", "members", *key), least, ["group"], "classes", found.count()).drop("classes")
+    out = join_classes(sets.where("n > 0"), found, key, "members", sets.count())
+    none = sets.where("n = 0").withColumns({"group": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
+    out = out.select("id", "th", "n", "group", "component").union(none.select("id", "th", "n", "group", "component"))
     return out.select("id", "th", F.col("n").alias("n_shingles"), "group", "component")

@@ -152,5 +152,5 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     many = placed.where(F.col("n") > max(count / 1000, 8)).select("pid", F.col("node").alias("hot"))  # fewer than 1000 points
     rows = rows.join(F.broadcast(many), "pid", "left")
     rest = placed.where(F.col("n") <= max(count / 1000, 8)).select(F.col("pid").alias("cold"), "node")
-    rows = rows.withColumn("cold", F.when(F.col("hot").isNull(), F.col("pid")).otherwise(F.xxhash64("id"))).join(rest, "cold", "left")
+    rows = rows.withColumn("cold", F.when(F.col("hot").isNull(), F.col("pid")).otherwise(F.monotonically_increasing_id())).join(rest, "cold", "left")
     return slots(rows.select("id", "size", "crc", F.coalesce("hot", "node").cast("int").alias("shard")))

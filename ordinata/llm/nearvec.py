@@ -199,5 +199,5 @@ def links(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_
     comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("v", "rep")
     info = classes.join(counts, "rep", "left").join(comps, "rep", "left").select(*keys, "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("component"))
     linked = parsed.select("id", *[F.when(F.col("dim") > 0, F.col(k)).alias(k) if k == "label" else F.col(k) for k in keys])
-    out = join_classes(linked, info, keys, "copies", parsed.count(), "id")
+    out = join_classes(linked, info, keys, "copies", parsed.count())
     return out.select("id", F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinata.llm.common import BROADCAST_BYTES, cut, discard, join_classes, measured, prepare
+from ordinata.llm.common import cut, discard, known, prepare
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A host in an attribute of a page, after a scheme or as `//host`.
@@ -68,13 +68,6 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
     return rank.select("kind", "host", F.col("r").alias("score"))
 
 
-def _of_host(rows: DataFrame, facts: DataFrame, total: int) -> DataFrame:
-    """`rows` (id, host, path) with what `facts` (host, pages, ...) has of the host: broadcast if it is small, else without a task that gets a host of many pages whole."""
-    if measured(facts) <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(facts), "host", "left")
-    return join_classes(rows, facts, ["host"], "pages", total, "id")
-
-
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 1e-12, kin: float = 1.0) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) for every page.
 
@@ -96,8 +89,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     seen = cut(p.groupBy("host").agg(F.count("*").alias("pages")))
     hosts = cut(seen.join(host_rules(seen.select("host"), rules), "host", "left"))
     pages_in_all = seen.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    known = lambda rows, facts: _of_host(rows, facts, pages_in_all)
-    fit = known(p.select("id", "host", "path"), hosts).select("host", fitting(F.col("rules"), F.col("path"))["rverdict"].alias("v"))
+    fit = known(p.select("id", "host", "path"), hosts, ["host"], "pages", pages_in_all).select("host", fitting(F.col("rules"), F.col("path"))["rverdict"].alias("v"))
     seeds = fit.where("v is not null and host <> ''").groupBy(F.when(F.col("v") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").cast("double").alias("mass"))
     # links: counted by pair of hosts on each task before they are dealt
     links = p.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("to")).select("src", F.translate("to", UPPER, LOWER).alias("dst")).where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
@@ -107,7 +99,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     edges = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     score = spread(edges, seeds).groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"))
     of_host = cut(hosts.join(score, "host", "left"))
-    out = known(p.select("id", "host", "path"), of_host).withColumn("r", fitting(F.col("rules"), F.col("path")))
+    out = known(p.select("id", "host", "path"), of_host, ["host"], "pages", pages_in_all).withColumn("r", fitting(F.col("rules"), F.col("path")))
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
     method = F.when(distrust - trust > threshold, "block").otherwise("allow")
     return out.select("id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.rverdict", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ordinata.llm import bpe, fingerprint, jaccard, kdtree, langid, queries
 from ordinata.llm.texts import shingle_hashes, word_hashes
-from ordinata.llm.common import components, utf8
+from ordinata.llm import common
+from ordinata.llm.common import components, cut, join_classes, known, utf8
 import pyarrow as pa
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -139,6 +140,36 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_without_broadcasts_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base if i < 40 else [w if rng.random() > 0.02 else f"u{i}" for w in base])) for i in range(260)] + [(i, "") for i in range(300, 320)]
+    edges = spark.createDataFrame([(100, i) for i in range(0, 99)] + [(i, i + 1) for i in range(200, 215)], "a long, b long")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(jaccard, "SETS", 16)
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"]: (r["n_shingles"], r["component"]) for r in got} == brute_components(rows)
+    assert {r["v"]: r["comp"] for r in components(edges).collect()} == {**dict.fromkeys([*range(99), 100], 0), **dict.fromkeys(range(200, 216), 200)}
+
+
+def test_hot_and_missing_keys_do_not_heap_up(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("k"), F.lit("copy").alias("t"))
+    classes = cut(rows.where("k is not null").groupBy("k").agg(F.count("*").alias("c"), F.lit(1).alias("one")))
+    before = {x: spark.conf.get(x) for x in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = join_classes(rows, classes, ["k"], "c", n)
+        held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(held) == n and max(held) < 2 * n / len(held) and len(held) > 4
+        want = known(rows, classes, ["k"], "c", n)
+        assert want.columns == out.columns and sorted(map(str, want.collect())) == sorted(map(str, out.collect()))
+    finally:
+        for x, v in before.items():
+            spark.conf.set(x, v)
+
+
 def encoding():
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
