@@ -16,6 +16,7 @@ from ordinata.operators import basic as B
 from ordinata.operators import grouping, windows
 from ordinata.operators import joins as J
 from ordinata.operators import positions as P
+from ordinata.plans import catalog
 from ordinata.sources import default_hints, literal, table
 
 rng = random.Random(12)
@@ -107,6 +108,34 @@ def test_joins(spark, left, right):
     assert got == [(x, sum(p), len(p), all(y > 1 for y in p)) for x, p in zip(left, partners, strict=True)]
 
 
+@pytest.mark.parametrize("keyed", [False, True])
+def test_joins_by_below_in_tiles(spark, monkeypatch, keyed):
+    """Nulls match nothing, NaN is above all numbers; ties, a key that only one side has, tiles cut within ties and keys."""
+    monkeypatch.setattr(J, "TILE", 2)
+    monkeypatch.setattr(J, "CHUNK", 1)
+    values = [None, float("nan"), 0.0, -0.0, 1.5, 1.5, 1.5, -7.0, float("inf")]
+    side = lambda n, ks: [(i, rng.choice(ks), rng.choice(values), rng.randrange(3)) for i in range(n)]
+    left, right = side(61, ["a", "a", "b", None]), side(47, ["a", "b", "c", None])
+    xs, ys = (table(spark.createDataFrame(rows, "i bigint, k string, v double, s int"), "t", None, default_hints("i")) for rows in (left, right))
+    less = lambda a, b: a is not None and b is not None and a == a and (b != b or a < b)
+    want = [(x[0], y[0]) for x in left for y in right if less(x[2], y[2]) and x[3] != y[3] and (not keyed or (x[1] is not None and x[1] == y[1]))]
+    for a, ids in ((xs, 1), (P.reverse(xs), -1)):
+        d = J.theta_join(a, B.renamed(ys, "y_"), lambda x, y: x.s != y.y_s, [(lambda x: x.k, lambda y: y.y_k)] * keyed, (lambda x: x.v, lambda y: y.y_v))
+        assert d.fields == ["i", "k", "v", "s", "y_i", "y_k", "y_v", "y_s"]
+        assert B.map_(d, lambda r: {"x": r.i, "y": r.y_i}).collect() == sorted(want, key=lambda p: (ids * p[0], p[1]))
+    nothing = J.theta_join(B.filter_(xs, lambda r: r.i < 0), B.renamed(ys, "y_"), below=(lambda x: x.v, lambda y: y.y_v))
+    assert nothing.collect() == []
+
+
+@pytest.mark.parametrize("name", ["j3_theta_join"])
+def test_pairs_of_one_file_are_made_by_many_tasks(spark, small, monkeypatch, name):
+    monkeypatch.setattr(J, "TILE", 3, raising=False)
+    monkeypatch.setattr(J, "CHUNK", 1, raising=False)
+    d = catalog.queries()[name](spark, small)
+    tasks = [r["count"] for r in d.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(tasks) >= 16 and max(tasks) < sum(tasks) / 4
+
+
 CASES = {
     "map": (lambda xs: A.map_(lambda x: x + 1, xs), lambda v: [x + 1 for x in v]),
     "filter": (lambda xs: A.filter_(lambda x: x > 0, xs), lambda v: [x for x in v if x > 0]),
