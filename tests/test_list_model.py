@@ -127,7 +127,7 @@ def test_joins_by_below_in_tiles(spark, monkeypatch, keyed):
     assert nothing.collect() == []
 
 
-@pytest.mark.parametrize("name", ["j3_theta_join"])
+@pytest.mark.parametrize("name", ["j3_range_join", "j3_theta_join"])
 def test_pairs_of_one_file_are_made_by_many_tasks(spark, small, monkeypatch, name):
     monkeypatch.setattr(J, "TILE", 3, raising=False)
     monkeypatch.setattr(J, "CHUNK", 1, raising=False)
